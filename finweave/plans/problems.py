@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.operators import asof, eager, rawparse, rolling
+from finweave.operators import asof, eager, rawparse, rolling, units
 from finweave.operators.standing import standing_rows
 from finweave.session import materialize
 from finweave.sources.tables import load
@@ -38,6 +38,19 @@ def p1_entity_activity(spark: SparkSession, d: str) -> DataFrame:
     return eager.join_rollup(_account_states(spark, d), owners, "account_id", ["entity_id"], ["side"])
 
 
+def _with_units(spark: SparkSession, d: str) -> DataFrame:
+    tx = _standing(spark, d, "amount", "currency", "source_system", "remittance_text", "created_at")
+    return units.with_units(tx, load(spark, d, "transactions"), load(spark, d, "currency_units"), load(spark, d, "source_systems"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.undeclared(_with_units(spark, d))
+
+
+def p2_converted(spark: SparkSession, d: str) -> DataFrame:
+    return _with_units(spark, d).select("transaction_id", "unit_code", "iso_currency", "amount_in_units", "amount_whole", "amount_usd")
+
+
 def _as_of(spark: SparkSession, d: str) -> DataFrame:
     return asof.as_of(
         load(spark, d, "risk_scores_history"), load(spark, d, "entity_changes"), event_id="id", entity="entity_id", event_time="scoring_timestamp",
@@ -116,7 +129,7 @@ filled AS (SELECT grid.source_account_id, grid.day, coalesce(x, 0) AS x FROM gri
 rolled AS (SELECT source_account_id, day, sum(x) OVER (PARTITION BY source_account_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS total_7,
 sum(x) OVER (PARTITION BY source_account_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS total_30 FROM filled)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_account_activity, p1_entity_activity, p4_found, p4_attributes_then, p5_found, p5_bronze, p5_quarantine, p6_found, p6_trailing)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_account_activity, p1_entity_activity, p2_found, p2_converted, p4_found, p4_attributes_then, p5_found, p5_bronze, p5_quarantine, p6_found, p6_trailing)}
 
 SQL = {
     "p1_found": f"""{_STATES} SELECT account_id, side FROM states JOIN (SELECT side AS s, sum(n) AS all_n FROM states GROUP BY side) ON s = side

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finweave.llm import names
+from finweave.llm import addresses, names
 from finweave.sources.tables import load
 
 
@@ -12,5 +12,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_party(load(spark, d, "entities"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found,)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_place(load(spark, d, "entities"))
+
+
+def p7_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every address with the class of its place."""
+    return addresses.place_classes(load(spark, d, "entities"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_places)}
 SQL: dict[str, str] = {}

@@ -309,8 +309,8 @@ def candidates(rows: DataFrame) -> DataFrame:
         .select("rid", "short", "attr", F.explode("keys").alias("x"))
         .select(F.xxhash64("attr", "x.k").alias("k"), "rid", "short", F.col("x.letter").alias("letter"))
     )
-    right = index.select("k", F.col("rid").alias("rb"), F.col("short").alias("short_b"))
-    return index.withColumnRenamed("rid", "ra").join(right, "k").where("ra < rb and (not letter or short or short_b)").select("ra", "rb").distinct()
+    right = index.select("k", F.col("rid").alias("rb"), F.col("short").alias("short_b"), F.col("letter").alias("letter_b"))  # the same columns, so that the exchange is reused
+    return index.withColumnRenamed("rid", "ra").join(right, "k").where("ra < rb and letter = letter_b and (not letter or short or short_b)").select("ra", "rb").distinct()
 
 
 def links(rows: DataFrame) -> DataFrame:

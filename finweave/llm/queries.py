@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finweave.llm import addresses, names
+from finweave.llm import addresses, leak, names
 from finweave.sources.tables import load
 
 
@@ -21,5 +21,18 @@ def p7_places(spark: SparkSession, d: str) -> DataFrame:
     return addresses.place_classes(load(spark, d, "entities"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_places)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Each leak with the length of its passage and where it begins."""
+    return _leaks(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_places, p8_found, p8_passages)}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finweave.llm import addresses, leak, names
+from finweave.llm import addresses, langid, leak, mixture, names
 from finweave.sources.tables import load
 
 
@@ -34,5 +34,33 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_places, p8_found, p8_passages)}
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix(mixture.supply(load(spark, d, "documents")), load(spark, d, "mixture_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares really reached."""
+    tokens, targets = mixture.supply(load(spark, d, "documents")), load(spark, d, "mixture_targets")
+    return mixture.shares(mixture.mix(tokens, targets), tokens, targets)
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    return langid.segments(documents, "doc_id", "text", langid.train(langid.sample(documents, "text", "lang")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.relabelled(load(spark, d, "documents"), "doc_id", "lang", langid.document_languages(_segments(spark, d)))
+
+
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of every document, each with its words and confidence."""
+    return langid.document_languages(_segments(spark, d))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_places, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finweave.constants import ADDRESS_WORDS, LEGAL_FORMS
 
@@ -28,7 +29,7 @@ def ascii_fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_letters()), r"[^\x00-\x7F]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold_exact(s: pd.Series) -> pd.Series:
     """NFKD with everything but ASCII dropped, for all of Unicode."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())

@@ -55,6 +55,7 @@ STATEMENT = r"(?:^|; )(?:montant exprimé en|montant en|importe en|Betrag in|fig
 SUM = r"(?:^|; )(?:pago de|please pay|sum of|Zahlung|transfer) ((?:(?! urgent| per contract|;).)+)"
 NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
 
+NEEDED = ["transaction_id", "amount", "currency", "source_system", "remittance_text", "created_at"]
 FEED_SCALE = {"minor": "minor", "thousands": "k", "major": "major"}
 #: A spelling is accepted up to this weighted distance; short ones must fit but for case, marks and spaces.
 DISTANCE_SHORT, DISTANCE_LONG, LONG = 0.75, 1.5, 8
@@ -167,14 +168,15 @@ def feeds(source_systems: DataFrame) -> DataFrame:
 
 
 def with_units(tx: DataFrame, all_rows: DataFrame, units: DataFrame, source_systems: DataFrame) -> DataFrame:
-    """Every row of ``tx`` with unit_code, iso_currency, amount_in_units, amount_whole (exact) and amount_usd.
+    """Every row of ``tx`` (its columns NEEDED) with unit_code, iso_currency, amount_in_units, amount_whole (exact) and amount_usd.
 
     The row's own statement outranks its currency text, which outranks the feed; a bare currency name takes its scale from the feed.
     Where amount is null the sum in the text counts, its bare currency meaning whole units, and without such a sum there is
     no unit. Texts no known spelling explains give no unit. ``all_rows`` is any table that holds the same texts; the distinct
-    spellings are taken from it, so finding them needs no shuffle of the rows. An unknown or null feed records whole units.
+    spellings are taken from it, so finding them needs no shuffle of the rows. An unknown or null feed, or a null created_at, tells nothing: whole units of the row's own
+    currency. Rows repeated in ``tx`` come out repeated; an empty table gives none.
     """
-    spark = tx.sparkSession
+    spark, tx = tx.sparkSession, tx.select(*NEEDED)
     said = say(all_rows.select("amount", "currency", "remittance_text"))
     spellings = said.select(F.explode(F.array_compact(F.array("spelled", "said"))).alias("spelling")).distinct()
     known = materialize(alias_dictionary(spellings, lexicon(spark, units)), "unit-aliases")

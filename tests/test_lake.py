@@ -1,0 +1,90 @@
+"""Landing files, layers, sinks and streams on small files."""
+
+import json
+from datetime import datetime, timedelta, timezone
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from finweave import schemas
+from finweave.plans import medallion
+from finweave.sources import lake
+from finweave.streaming import velocity
+
+AT = datetime(2025, 7, 1, tzinfo=timezone.utc)
+GOOD = {
+    "transaction_id": "T1", "source_account": " ACC-1 ", "destination_account": "ACC-2", "amount": 9500, "currency": "usd", "transaction_timestamp": "2025-06-01T10:00:00", "transaction_type": "wire",
+    "source_country": "IR", "destination_country": "US", "customer_type": "corporate", "is_pep": True, "risk_score": 1.0, "flagged": None,
+}
+
+
+@pytest.fixture
+def run(tmp_path):
+    folder = tmp_path / "raw" / "date=2025-06-01"
+    folder.mkdir(parents=True)
+    rows = [GOOD, GOOD | {"transaction_id": "T2", "amount": -5}, GOOD | {"transaction_id": "T3", "source_account": None}, GOOD | {"transaction_id": "T4", "destination_account": "ACC-1"}]
+    (folder / "part.json").write_text("\n".join(json.dumps(r) for r in rows) + "\n{broken\n")
+    return medallion.Run(str(tmp_path / "raw"), str(tmp_path / "lake"), "2025-06-01", AT)
+
+
+def test_layers(spark, run):
+    assert medallion.run_all(spark, run) == {"bronze": 4, "rejected": 1, "silver": 1, "quarantine": 3, "gold": 1, "history": 0}
+    gold = lake.scan_batch(spark, run.path("gold"), "2025-06-01").first()
+    assert (gold["transaction_id"], gold["source_account"], gold["currency"], gold["risk_score"], gold["risk_level"], gold["flagged"]) == ("T1", "ACC-1", "USD", 47.0, "MEDIUM", False)
+    assert "PartitionFilters: [isnotnull(_batch_date" in lake.scan_batch(spark, run.path("gold"), "2025-06-01")._jdf.queryExecution().toString()
+    assert lake.batch_count(spark, run.path("bronze"), "2025-06-02") == 0
+    lake.register(spark, "gold_transactions", run.path("gold"))
+    spark.sql("DROP TABLE gold_transactions")
+
+
+def test_faithful_split_and_unsafe_scan(spark, run):
+    assert lake.scan_raw(spark, run.raw, "2025-06-01", safe=False).where("transaction_id is null").count() == 1
+    medallion.ingest(spark, run)
+    assert medallion.transform(spark, run, safe=False) == {"silver": 1, "quarantine": 2}
+
+
+def test_strict_append(spark, tmp_path):
+    df = lake.with_metadata(lake.from_records(spark, [{"transaction_id": "T"}], schemas.BRONZE), "2025-01-01", "dev", F.lit(AT))
+    lake.append(df, str(tmp_path / "t"), df.schema)
+    with pytest.raises(ValueError):
+        lake.append(df.drop("amount"), str(tmp_path / "t"), df.schema)
+    assert lake.batch_count(spark, str(tmp_path / "t"), "2025-01-01") == 1
+
+
+def test_settings():
+    assert lake.lake_path("bronze", "acct", "/a/b") == "abfss://bronze@acct.dfs.core.windows.net/a/b"
+    assert lake.setting("X", {"X": "1"}) == "1" and lake.setting("X", {}, "d") == "d"
+    with pytest.raises(ValueError):
+        lake.setting("X", {})
+
+
+def test_history_without_url(spark):
+    assert lake.append_history(spark.range(1), "") is False
+
+
+def test_named_parameters(spark):
+    assert spark.sql("select :a + 1 as x", args={"a": 1}).first()["x"] == 2
+
+
+def test_velocity_stream(spark, tmp_path):
+    start = datetime(2025, 1, 1, 10)
+    row = lambda k, minutes, who="A", status="COMPLETED": (f"t{k}", who, start + timedelta(minutes=minutes), Decimal(1), status)
+    rows = [row(k, k) for k in range(5)] + [row(0, 0), row(50, 5, "B"), row(51, 6, "A", "FAILED"), row(52, 7, None)]
+    schema = "transaction_id string, source_account_id string, transaction_timestamp timestamp, amount decimal(20,4), status string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([row(99, 60 * 48, "Z")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = velocity.velocity_alerts(velocity.transactions(spark, str(tmp_path / "in")), least=4).writeStream.outputMode("append").format("memory").queryName("velocity").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("velocity").collect()] == [(start, "A", 5, Decimal(5))]
+
+
+def test_scored_batches(spark, run, tmp_path):
+    medallion.ingest(spark, run)
+    bronze = spark.readStream.schema(lake.scan_batch(spark, run.path("bronze"), "2025-06-01").schema).parquet(run.path("bronze"))
+    q = velocity.score_batches(bronze, str(tmp_path / "g"), str(tmp_path / "q"), str(tmp_path / "c"), AT)
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 1 and spark.read.parquet(str(tmp_path / "q")).count() == 3

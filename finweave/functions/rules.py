@@ -8,8 +8,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finweave.constants import ACCOUNT_PATTERN, ALIASES, CURRENCIES, HIGH_RISK_COUNTRIES, HIGH_VALUE, MAX_AMOUNT, STRUCTURING_HIGH, STRUCTURING_LOW
+from finweave.session import attach
 
 
 def strip(c: Column) -> Column:
@@ -70,6 +72,27 @@ def normalize_lake(df: DataFrame) -> DataFrame:
     })
 
 
+def enrich_with_entity(df: DataFrame, entities: DataFrame, on: str) -> DataFrame:
+    """Record layer: add ``entity_context`` from the entity whose id stands in column ``on``.
+
+    Missing parts take defaults: no exposed person, score 0, retail; without an entity the struct holds defaults and null id, name and country.
+    ``entities`` has unique entity_id and may lack the other columns. Hot entities are spread.
+    """
+    have = entities.columns
+    part = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in have else F.lit(default)
+    text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    context = entities.select(
+        F.col("entity_id").alias(on),
+        F.struct(
+            F.nullif(F.col("entity_id"), F.lit("")).alias("entity_id"), text("name").alias("name"), part("pep_flag", False).alias("pep_flag"), part("risk_score", 0).cast("double").alias("risk_score"),
+            text("country").alias("country"), part("customer_type", "retail").alias("customer_type"),
+        ).alias("entity_context"),
+    )
+    null = F.lit(None).cast("string")
+    missing = F.struct(null.alias("entity_id"), null.alias("name"), F.lit(False).alias("pep_flag"), F.lit(0.0).alias("risk_score"), null.alias("country"), F.lit("retail").alias("customer_type"))
+    return attach(df, context, [on]).withColumn("entity_context", F.coalesce("entity_context", missing))
+
+
 # ---- flags ---------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +182,19 @@ def standard_rules(as_of: datetime) -> list[Rule]:
     ]
 
 
+def callable_rule(rule_id: str, severity: str, field: str, description: str, check: Callable[[dict], bool], columns: list[str]) -> Rule:
+    """A rule whose check is a Python function of a record; it runs row by row, so prefer an expression. An exception fails the record."""
+
+    @F.udf(T.BooleanType())
+    def run(record):
+        try:
+            return bool(check(record.asDict()))
+        except Exception:
+            return False
+
+    return Rule(rule_id, severity, field, description, lambda: run(F.struct(*columns)))
+
+
 def add_rule(rules: list[Rule], rule: Rule) -> list[Rule]:
     """With one more rule; if its id is taken, both entries stay and both use the new check."""
     return [*(replace(r, passes=rule.passes) if r.rule_id == rule.rule_id else r for r in rules), rule]

@@ -25,6 +25,11 @@ class Run:
     environment: str = "dev"
     raw_format: str = "json"
 
+    @classmethod
+    def today(cls, raw: str, root: str, at: datetime, batch_date: str = "", **rest) -> Run:
+        """A run for a date, or for the day of ``at`` if the date is blank."""
+        return cls(raw, root, batch_date or at.date().isoformat(), at, **rest)
+
     def path(self, layer: str) -> str:
         return f"{self.root}/{layer}/transactions"
 
@@ -67,4 +72,9 @@ def run_all(spark: SparkSession, run: Run, url: str = "") -> dict[str, int]:
     return ingest(spark, run) | transform(spark, run) | score(spark, run, url)
 
 
-__all__ = ["Run", "ingest", "transform", "score", "run_all"]
+def summary(counts: dict[str, int]) -> str:
+    """What a job reports when it is done."""
+    return "SUCCESS: " + ", ".join(f"{n} {k} rows" for k, n in counts.items())
+
+
+__all__ = ["Run", "ingest", "transform", "score", "run_all", "summary"]

@@ -155,7 +155,8 @@ def pipeline(raw: DataFrame, as_of: datetime) -> DataFrame:
     Records are checked before their fields are renamed; those with errors stay at VALIDATION without flags or scores.
     """
     checked = rules.validate(raw, rules.standard_rules(as_of)).withColumn("is_valid", F.size("errors") == 0)
-    carried = checked.withColumn("record_id", F.coalesce("transaction_id", F.expr("uuid()")))
+    ids = [F.col(c) for c in ("transaction_id", "id") if c in raw.columns]
+    carried = checked.withColumn("record_id", F.coalesce(*ids, F.expr("uuid()")))
     held = ["record_id", "is_valid", "quality_score", "errors"]
     done = rules.record_flags(rules.normalize_record(carried.drop("results")))
     kind, pep = F.coalesce("customer_type", F.lit("retail")), F.coalesce("is_pep", F.lit(False))
@@ -192,7 +193,17 @@ def ingestion_stats(spark: SparkSession, d: str) -> DataFrame:
     return ingest(records(spark, d)).agg(F.count(F.lit(1)).alias("total_received"), F.count_if(~bad).alias("total_processed"), F.count_if(bad).alias("total_quarantined"), F.count_if(~bad & F.col("flagged")).alias("total_flagged"))
 
 
+def enriched_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every delivered transaction with the context of the entity that owns its source account."""
+    accounts = load(spark, d, "accounts").select("account_id", "entity_id", F.col("country_code").alias("country"))
+    owners = load(spark, d, "entities").select(F.col("entity_id").alias("owner"), "name", "pep_flag", "risk_score", F.when(F.col("entity_type") == "CORPORATE", "corporate").alias("customer_type"))
+    by_account = accounts.join(owners, F.col("entity_id") == F.col("owner")).select(F.col("account_id").alias("entity_id"), "name", "pep_flag", "risk_score", "country", "customer_type")
+    rows = load(spark, d, "transactions").select("transaction_id", "source_account_id")
+    return rules.enrich_with_entity(rows, by_account, "source_account_id").select("transaction_id", "source_account_id", *(F.col(f"entity_context.{c}").alias(f"context_{c}") for c in ("name", "pep_flag", "risk_score", "country", "customer_type")))
+
+
 QUERIES = {f.__name__: f for f in (
+    enriched_records,
     normalize_l1, normalize_l2, normalize_lake, flags_l1, flags_lake, tiers_l2, structuring_boost, dq_report_l1, dq_violations_l2, dq_score_lake, silver, quarantine, quarantine_safe, quality_summary,
     velocity_30d, score_weighted, score_lake, level_distribution, history_latest, high_risk_entities, pipeline_records, pipeline_stats, ingestion_stats,
 )}
@@ -283,5 +294,8 @@ SELECT transaction_id AS record_id, CASE WHEN ok THEN 'OUTPUT' ELSE 'VALIDATION'
     "pipeline_stats": f"""WITH {_VERDICTS}, q AS (SELECT {_OK} AS ok FROM verdicts) SELECT count(*) AS ingested, count(*) FILTER (WHERE ok) AS validated, count(*) FILTER (WHERE NOT ok) AS validation_failed, count(*) FILTER (WHERE ok) AS transformed,
 count(*) FILTER (WHERE ok) AS enriched, count(*) FILTER (WHERE ok) AS scored, count(*) FILTER (WHERE ok) AS output FROM q""",
 }
+SQL["enriched_records"] = """SELECT t.transaction_id, t.source_account_id, e.name AS context_name, coalesce(e.pep_flag, false) AS context_pep_flag, coalesce(CAST(e.risk_score AS DOUBLE), 0.0) AS context_risk_score,
+CASE WHEN e.entity_id IS NOT NULL THEN a.country_code END AS context_country, CASE WHEN e.entity_type = 'CORPORATE' THEN 'corporate' ELSE 'retail' END AS context_customer_type
+FROM transactions t LEFT JOIN accounts a ON a.account_id = t.source_account_id LEFT JOIN entities e ON e.entity_id = a.entity_id"""
 SQL["ingestion_stats"] = SQL["dq_violations_l2"].split("SELECT transaction_id, CAST(len(v)")[0].replace("amount, transaction_timestamp FROM records)", "amount, transaction_timestamp, CASE WHEN amount >= 10000 THEN true ELSE coalesce(flagged, false) END AS flagged FROM records)").replace("v AS (SELECT transaction_id, list_filter", "v AS (SELECT transaction_id, flagged, list_filter") + """
 SELECT count(*) AS total_received, count(*) FILTER (WHERE len(v) = 0) AS total_processed, count(*) FILTER (WHERE len(v) > 0) AS total_quarantined, count(*) FILTER (WHERE len(v) = 0 AND flagged) AS total_flagged FROM v"""

@@ -1,15 +1,16 @@
 """Landing files, layers, sinks and streams on small files."""
 
 import json
+import os
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from finweave import schemas
+from finweave import schemas, session
 from finweave.plans import medallion
-from finweave.sources import lake
+from finweave.sources import config, lake
 from finweave.streaming import velocity
 
 AT = datetime(2025, 7, 1, tzinfo=timezone.utc)
@@ -59,6 +60,25 @@ def test_settings():
         lake.setting("X", {})
 
 
+def test_deployment():
+    d = config.deployment("prod", {"STORAGE_ACCOUNT": "a", "STORAGE_CONTAINER": "c"})
+    assert d.layer("gold") == "abfss://c@a.dfs.core.windows.net/gold/" and d.jdbc_url == "" and d.shuffle_partitions == 2000
+    with pytest.raises(ValueError):
+        config.deployment("dev", {})
+
+
+def test_blank_date_and_summary():
+    assert medallion.Run.today("r", "l", AT).batch_date == "2025-07-01" and medallion.Run.today("r", "l", AT, "2025-01-02").batch_date == "2025-01-02"
+    assert medallion.summary({"gold": 3}) == "SUCCESS: 3 gold rows"
+
+
+def test_clean(spark):
+    df = session.materialize(spark.range(3))
+    assert df.count() == 3 and session.run_dir(spark) in df.inputFiles()[0]
+    session.clean(spark)
+    assert not os.path.exists(session.run_dir(spark).removeprefix("file://"))
+
+
 def test_history_without_url(spark):
     assert lake.append_history(spark.range(1), "") is False
 

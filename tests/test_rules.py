@@ -55,6 +55,18 @@ def test_custom_rule(spark):
     assert len(row["results"]) == 12 and failed(row) == []
 
 
+def test_callable_rule(spark):
+    own = rules.callable_rule("CUSTOM-002", "WARNING", "amount", "Even.", lambda r: int(float(r["amount"])) % 2 == 0, ["amount"])
+    out = rules.validate(spark.createDataFrame([GOOD, (GOOD[0], "x", *GOOD[2:]), (GOOD[0], "3", *GOOD[2:])], RAW), [own]).collect()
+    assert [r["quality_score"] for r in out] == [100.0, 0.0, 0.0] and out[1]["errors"] == []
+
+
+def test_enrichment(spark):
+    e = spark.createDataFrame([("A", "Ann", True, None)], "entity_id string, name string, pep_flag boolean, risk_score double")
+    out = rules.enrich_with_entity(spark.createDataFrame([("A",), ("B",), (None,)], "source string"), e, "source").collect()
+    assert sorted((tuple(r["entity_context"]) for r in out), key=str) == sorted([("A", "Ann", True, 0.0, None, "retail"), *[(None, None, False, 0.0, None, "retail")] * 2], key=str)
+
+
 def test_no_rules(spark):
     row = rules.validate(spark.createDataFrame([GOOD], RAW), []).first()
     assert row["quality_score"] == 0.0 and row["results"] == []

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finweave.llm.spelling import distance, fold, key, neighbourhood, plain
@@ -136,9 +136,8 @@ def settle_towns(rows: DataFrame) -> DataFrame:
 
     The counts cover all addresses; areas are joined as a dimension of checked size.
     """
-    by = Window.partitionBy("area").orderBy(F.col("n").desc(), "town")
     usual = materialize(
-        rows.where("area is not null and town is not null").groupBy("area", "town").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(by)).where("r = 1").select("area", F.col("town").alias("usual")),
+        rows.where("area is not null and town is not null").groupBy("area", "town").agg(F.count(F.lit(1)).alias("n")).groupBy("area").agg(F.max(F.struct("n", "town"))["town"].alias("usual")),
         "address-areas",
     )
 

@@ -330,13 +330,19 @@ def links(rows: DataFrame) -> DataFrame:
     return met.select("ra", "rb", "name_a", "name_b", "is_person_a").mapInArrow(run, "a bigint, b bigint")
 
 
+def parties(entities: DataFrame) -> DataFrame:
+    """Each row with an id and a name, and its party: entity_id, party. Rows without a link are a party of their own."""
+    rows = materialize(prepare(entities), "names-rows")
+    groups = materialize(connected_components(materialize(links(rows), "names-links")), "names-groups")
+    member = rows.select(F.col("rid").alias("node"), "entity_id").distinct().join(groups, "node", "left")
+    return member.select("entity_id", F.coalesce("component", "node").alias("party")).distinct()
+
+
 def same_party(entities: DataFrame) -> DataFrame:
     """All pairs of rows of one party, links and chains of links: entity_id_a < entity_id_b.
 
     Rows with a null id or an empty name are in no pair; an id that occurs in several rows is one row for the result.
     """
-    rows = materialize(prepare(entities), "names-rows")
-    groups = materialize(connected_components(materialize(links(rows), "names-links")), "names-groups")
-    member = groups.join(rows.select(F.col("rid").alias("node"), "entity_id").distinct(), "node").select("component", "entity_id")
-    other = member.select("component", F.col("entity_id").alias("entity_id_b"))
-    return member.withColumnRenamed("entity_id", "entity_id_a").join(other, "component").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+    member = materialize(parties(entities), "names-parties")
+    other = member.select("party", F.col("entity_id").alias("entity_id_b"))
+    return member.withColumnRenamed("entity_id", "entity_id_a").join(other, "party").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()

@@ -12,6 +12,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return names.same_party(load(spark, d, "entities"))
 
 
+def p3_parties(spark: SparkSession, d: str) -> DataFrame:
+    """Every row with its party."""
+    return names.parties(load(spark, d, "entities"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_place(load(spark, d, "entities"))
 
@@ -54,13 +59,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The languages of every document, each with its words and confidence."""
-    return langid.document_languages(_segments(spark, d))
+    """Every document with its languages, each with its words and confidence; nulls where none could be told."""
+    return load(spark, d, "documents").select("doc_id").join(langid.document_languages(_segments(spark, d)), "doc_id", "left")
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p7_found, p7_places, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_parties, p7_found, p7_places, p8_found, p8_passages, p9_mixture, p9_shares, p10_found, p10_documents, p10_segments)}
 SQL: dict[str, str] = {}

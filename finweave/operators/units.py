@@ -59,7 +59,8 @@ NEEDED = ["transaction_id", "amount", "currency", "source_system", "remittance_t
 FEED_SCALE = {"minor": "minor", "thousands": "k", "major": "major"}
 #: A spelling is accepted up to this weighted distance; short ones must fit but for case, marks and spaces.
 DISTANCE_SHORT, DISTANCE_LONG, LONG = 0.75, 1.5, 8
-GRAM, SHARED = 2, 0.34
+#: Candidates share this part of the larger gram set; a fitting pair shares more, since marks, case and spaces leave folded grams alone.
+GRAM, SHARED = 2, 0.5
 
 
 def lexicon(spark: SparkSession, units: DataFrame) -> DataFrame:
@@ -84,8 +85,8 @@ def grams(text: Column) -> Column:
 
 
 @lru_cache(100_000)
-def weighted_distance(a: str, b: str) -> float:
-    """Edit distance where case costs 0.25, marks and spaces 0.1, an accent 0.25 and other letters and digits 1."""
+def weighted_distance(a: str, b: str, most: float = float("inf")) -> float:
+    """Edit distance where case costs 0.25, marks and spaces 0.1, an accent 0.25 and other letters and digits 1; infinite beyond ``most``."""
 
     def weight(c: str) -> float:
         return 1.0 if c.isalnum() or unicodedata.category(c) == "Sc" else 0.1
@@ -106,28 +107,30 @@ def weighted_distance(a: str, b: str) -> float:
         w, new = weight(c), [row[0] + weight(c)]
         for j, d in enumerate(b):
             new.append(min(row[j] + swap(c, d), row[j + 1] + w, new[j] + weight(d)))
+        if min(new) > most:
+            return float("inf")
         row = new
-    return row[-1]
+    return row[-1] if row[-1] <= most else float("inf")
 
 
 def alias_dictionary(spellings: DataFrame, known: DataFrame) -> DataFrame:
     """Map each distinct spelling to a unit: spelling, iso, scale, distance.
 
-    Candidates come from an inverted index of bigrams, those sharing SHARED of the spelling's grams are verified
+    Candidates come from an inverted index of bigrams, those sharing SHARED of the grams are verified
     by weighted edit distance. Spellings that fit no alias, or two different units equally well, are left out.
     """
     left = spellings.select("spelling", F.size(grams(F.col("spelling"))).alias("size"), F.explode(grams(F.col("spelling"))).alias("gram"))
-    right = known.select("alias", "iso", "scale", F.explode(grams(F.col("alias"))).alias("gram"))
+    right = known.select("alias", "iso", "scale", F.size(grams(F.col("alias"))).alias("alias_size"), F.explode(grams(F.col("alias"))).alias("gram"))
     candidates = (
         left.join(F.broadcast(right), "gram")  # a fixed lexicon of about 50 spellings a currency
         .groupBy("spelling", "alias", "iso", "scale")
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("size").alias("size"))
+        .agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("size", "alias_size")).alias("size"))
         .where(F.col("shared") >= F.col("size") * SHARED)
     )
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([weighted_distance(" ".join(x.split()), y) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([weighted_distance(" ".join(x.split()), y, DISTANCE_LONG) for x, y in zip(a, b)], dtype="float64")
 
     limit = F.when(F.length("alias") >= LONG, DISTANCE_LONG).otherwise(DISTANCE_SHORT)
     fits = candidates.withColumn("distance", distance("spelling", "alias")).where(F.col("distance") <= limit)

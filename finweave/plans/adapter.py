@@ -12,19 +12,18 @@ from finweave.sources.tables import load
 
 #: What stands for now in the queries: the end of the data time.
 AS_OF = "2025-07-01 00:00:00"
-COLUMNS = [
-    "transaction_id", "created_at", "source_account_id", "destination_account_id", "amount", "currency", "transaction_type", "status", "transaction_timestamp", "risk_score",
-    "flagged", "source_system", "remittance_text",
-]
+#: Columns every query on transactions needs; further ones are named by the query, so that the scan and the shuffle hold no others.
+BASE = ["transaction_id", "created_at", "source_account_id", "destination_account_id", "amount", "transaction_timestamp", "status", "flagged"]
+EXTRA = ["currency", "risk_score", "transaction_type"]
 
 
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def valid(spark: SparkSession, d: str) -> DataFrame:
-    """Standing transactions that keep the table's constraints: positive amount, two different accounts, a time."""
-    rows = standing_rows(load(spark, d, "transactions"), "transaction_id", "created_at", COLUMNS)
+def valid(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """Standing transactions that keep the table's constraints: positive amount, two different accounts, a time; BASE and ``extra`` columns."""
+    rows = standing_rows(load(spark, d, "transactions"), "transaction_id", "created_at", [*BASE, *sorted(extra)])
     return rows.where("amount > 0 and source_account_id <> destination_account_id and transaction_timestamp is not null")
 
 
@@ -44,7 +43,7 @@ def letter(column: str, n: int, values: tuple[str, ...]) -> Column:
 
 def alerts(spark: SparkSession, d: str) -> DataFrame:
     """An alert for each flagged valid transaction, about the entity of its source account."""
-    t = with_account(valid(spark, d).where("flagged"), spark, d, "source_account_id", "s", entity=False)
+    t = with_account(valid(spark, d, "risk_score", "transaction_type").where("flagged"), spark, d, "source_account_id", "s", entity=False)
     return t.select(
         F.concat(F.lit("AL-"), "transaction_id").alias("alert_id"), F.col("s_entity_id").alias("entity_id"), "transaction_id", letter("transaction_id", 1, ALERT_TYPES).alias("alert_type"),
         F.coalesce("risk_score", F.lit(50).cast("decimal(5,2)")).alias("risk_score"), letter("transaction_id", 2, ALERT_STATUSES).alias("status"),
@@ -88,7 +87,7 @@ def _pick(n: int, values: tuple[str, ...]) -> str:
 
 NOW = f"TIMESTAMPTZ '{AS_OF}+00'"
 VALID_SQL = f"""standing AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY created_at DESC NULLS LAST,
-{', '.join(f'{c} DESC NULLS LAST' for c in COLUMNS[2:])}) AS rn FROM transactions WHERE transaction_id IS NOT NULL) WHERE rn = 1),
+{', '.join(f'{c} DESC NULLS LAST' for c in BASE[2:] + EXTRA)}) AS rn FROM transactions WHERE transaction_id IS NOT NULL) WHERE rn = 1),
 valid AS (SELECT * FROM standing WHERE amount > 0 AND source_account_id <> destination_account_id AND transaction_timestamp IS NOT NULL)"""
 ALERTS_SQL = f"""{VALID_SQL},
 alerts AS (SELECT 'AL-' || t.transaction_id AS alert_id, s.entity_id, t.transaction_id, {_pick(1, ALERT_TYPES)} AS alert_type,

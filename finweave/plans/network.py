@@ -20,7 +20,7 @@ SIMILAR = 0.70
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Valid transactions as edges of type TRANSFER; times in seconds since 1970."""
-    return valid(spark, d).select(F.col("transaction_id").alias("edge_id"), F.col("source_account_id").alias("src"), F.col("destination_account_id").alias("dst"), (F.unix_micros("transaction_timestamp") / F.lit(1e6)).alias("ts"), F.col("amount").cast("double").alias("amount"), "flagged", "currency")
+    return valid(spark, d, "currency").select(F.col("transaction_id").alias("edge_id"), F.col("source_account_id").alias("src"), F.col("destination_account_id").alias("dst"), (F.unix_micros("transaction_timestamp") / F.lit(1e6)).alias("ts"), F.col("amount").cast("double").alias("amount"), "flagged", "currency")
 
 
 def flagged_edges(spark: SparkSession, d: str) -> DataFrame:

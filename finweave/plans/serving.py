@@ -34,7 +34,7 @@ def alerts_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transactions_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return filter_transactions(valid(spark, d), flagged="true", min_amount=1000).select("transaction_id", "source_account_id", "destination_account_id", "amount", "currency", "transaction_timestamp")
+    return filter_transactions(valid(spark, d, "currency"), flagged="true", min_amount=1000).select("transaction_id", "source_account_id", "destination_account_id", "amount", "currency", "transaction_timestamp")
 
 
 def top_alerts(spark: SparkSession, d: str) -> DataFrame:

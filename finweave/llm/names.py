@@ -81,7 +81,7 @@ def person(name: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
     elif double := [w for w in ws if "-" in w and not any(fold(plain(p)) in _NICK for p in w.split("-"))]:
         last = double
     elif len(ws[-1].rstrip(".")) <= 1 or (ws[-1].endswith(".") and len(ws) > 1):
-        last = [ws[0]]
+        last = ws[: next((k for k, w in enumerate(ws) if len(w.rstrip(".")) <= 1 or w.endswith(".")), 1)] or [ws[0]]
     elif len(ws) > 1 and fold(plain(ws[-1])) in _NICK and fold(plain(ws[0])) not in _NICK and len(ws[0].rstrip(".")) > 1:
         last = [ws[0]]
     else:
@@ -207,8 +207,11 @@ def _same_person(a: str, b: str) -> bool:
         return False
     x, y = given_a + last_a, given_b + last_b
     pairs, left_a, left_b = _settled(x, y)
-    if left_a and left_b:
-        return False
+    if left_a and left_b:  # a middle name left out on one side, a part of a double surname on the other
+        middle = lambda left, given: all(0 < i < len(given) for i in left)
+        part = lambda left, given: all(i >= len(given) for i in left)
+        if not (middle(left_a, given_a) and part(left_b, given_b) or part(left_a, given_a) and middle(left_b, given_b)):
+            return False
     strong = [(i, j) for i, j in pairs if len(x[i].rstrip(".")) > 1 and len(y[j].rstrip(".")) > 1]
     if not any(i >= len(given_a) or j >= len(given_b) for i, j in strong):
         return False
@@ -224,6 +227,8 @@ def _same_organisation(a: str, b: str) -> bool:
     if not x or not y:
         if not x and not y:
             return bool(short_a) and short_a == short_b
+        if short_a and short_a == short_b:
+            return True
         words, short = (y, short_a) if not x else (x, short_b)
         letters = "".join(fold(w[0]) for w in words)
         return len(short) >= 2 and sorted("".join(fold(c) for c in short)) == sorted(letters)

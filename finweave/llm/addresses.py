@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finweave.llm.spelling import distance, fold, key, neighbourhood, plain
 from finweave.operators.components import connected_components
@@ -28,12 +29,15 @@ COUNTRIES = {
 }
 # Parts inside a building, and lines that name a recipient or a house.
 INSIDE = [
-    r"\b(?:flat|flt|apartment|apt|unit|suite|whg|wohnung|hinterhaus|vorderhaus|piso|pta|puerta|appt|app|appartement|b[aâ]t|batiment|esc|escalera)\b\.?\s*(?:\d{1,3}[a-z]?|[a-z])\b(?!\s*/)",
+    r"\b(?:flat|flt|apartment|apt|unit|suite|whg|wohnung|hinterhaus|vorderhaus|piso|pta|puerta|appt|app|appartement|b[aâ]t|batiment|esc|escalera)\b\.?\s*(?:\d{1,3}[a-z]?\b|[a-z]\b(?!\s*/))",
     r"\b\d{1,2}\s*º\s*[a-z]\b", r"\b\d{1,2}(?:e|er|[eè]me)\s+[eé]tage\b", r"\b\d{1,2}\.?\s*(?:og|stock|etage)\b", r"\b(?:eg|rez-de-chauss[eé]e)\b",
 ]
 CARE_OF = r"\b(?:c/\s*o|care of|z\.\s*hd\.|a/a)\b\.?\s+[^\W\d_]+\s+(?:agents?|family|office|familie|famille|familia)\b"
 HOUSE = r"\b[^\W\d_]+\s+house\b"
 NOT_TOWNS = {"unit", "flat", "apartment", "appt", "piso", "house", "hinterhaus", "etage", "family", "office", "agents", "puerta"}
+#: Share of an area's addresses in one town from which the area tells the town; towns written in other ways take up the rest.
+#: Least share of a town that counts as one of its area's.
+ONE_TOWN, SHARED_TOWN = 0.8, 0.05
 
 _TYPE: dict[str, dict[str, str]] = {
     style: {w: k for k, v in table.items() for w in v.split()} for style, table in (("after", AFTER), ("before", BEFORE), ("either", EITHER), ("joined", JOINED))
@@ -45,8 +49,8 @@ _NUMBER = re.compile(r"(?:\b(?:no|nr|num)\b\.?\s*|n\s?[º°]\.?\s*|#\s*)?\b(\d{1
 
 
 @lru_cache(200_000)
-def parse(text: str) -> tuple[str, str, str, str, str] | None:
-    """House number, street type, street name, town, postal area ('' where missing), in canonical order; None without number or type."""
+def parse(text: str) -> tuple[str, str, str, str, str, str] | None:
+    """House number, street type, street name, town, postal area, postcode ('' where missing), in canonical order; None without number or type."""
     s = text.lower().replace("ß", "ss").replace("°", "º")
     s = re.sub(r"(\d)\s*ª", r"\1º", s)
     s = re.sub(CARE_OF, " , ", s)
@@ -55,12 +59,13 @@ def parse(text: str) -> tuple[str, str, str, str, str] | None:
     s = re.sub(r"\bpº(?=\W)", " paseo ", s)
     for p in INSIDE:
         s = re.sub(p, " , ", s)
-    area = ""
+    s = re.sub(r"\bn\s?º\.?", " # ", s)
+    area = code = ""
     if m := _UK.search(s):
-        area, s = m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
+        area, code, s = m[1] + m[2], m[1] + m[2] + m[3], s[: m.start()] + " , " + s[m.end() :]
     elif m := _DIGITS.search(s):
-        area, s = m[1] + m[2][:1], s[: m.start()] + " , " + s[m.end() :]
-    s = re.sub(r"\b(\w+)\s+de\s+l+a\s+(s\w{3,7})\b", lambda m: " , " + m[1] + "_de_la_sierra , " if distance(fold(m[2]), "siera", 2) <= 2 else m[0], s)
+        area, code, s = m[1] + m[2][:1], m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
+    s = re.sub(r"\b(\w{4,}?)\s*de\s*l+a\s*(s\w{3,7})\b", lambda m: " , " + m[1] + "_de_la_sierra , " if distance(fold(m[2]), "siera", 2) <= 2 else m[0], s)
     s = re.sub(r"\b(\w+)[\s-]+(s\w{1,3})[\s-]+(m\w{1,4})\b", lambda m: " , " + m[1] + "_sur_mer , " if distance(fold(m[2]), "sur", 1) <= 1 and distance(fold(m[3]), "mer", 1) <= 1 else m[0], s)
     s = re.sub(r"\b(\w+)\s+bay\b", r" , \1_bay , ", s)
     s = plain(s.replace("º", " º "))
@@ -81,7 +86,8 @@ def parse(text: str) -> tuple[str, str, str, str, str] | None:
             back = i - 1 if i and p[i - 1] != "0" else None
             ahead = i + 1 if i + 1 < len(p) and p[i + 1] != "0" else None
             number_next = ahead is not None and ahead + 1 < len(p) and p[ahead + 1] == "0"
-            at = {"before": ahead, "after": back}.get(style, ahead if back is None or number_next else back)
+            apart = back is not None and ahead is not None and "0" not in p and n + 1 < len(parts) and parts[n + 1][:1] == ["0"]
+            at = {"before": ahead, "after": back}.get(style, ahead if back is None or number_next or apart else back)
             if at is None:
                 continue
             name, gone = p[at].rstrip("."), {i, at}
@@ -89,7 +95,7 @@ def parse(text: str) -> tuple[str, str, str, str, str] | None:
             continue
         rest = [t.rstrip(".") for k, q in enumerate(parts) for j, t in enumerate(q) if t != "0" and (k != n or j not in gone)]
         rest = [t for t in rest if len(t) > 3 and t not in NOT_TOWNS]
-        return number, SAME.get(kind, kind), name, max(rest, key=len, default=""), area
+        return number, SAME.get(kind, kind), name, max(rest, key=len, default=""), area, code
     return None
 
 
@@ -97,7 +103,7 @@ def _types(p: list[str], n: int, i: int) -> Iterator[tuple[int, int, int, str, s
     """What street types token ``i`` of part ``n`` may stand for; full words rank before abbreviations, endings last."""
     t = p[i].rstrip(".")
     for style in ("before", "after", "either", "joined"):
-        if (kind := _TYPE[style].get(t)) and len(p) > 1:
+        if (kind := _TYPE[style].get(t)) and len(p) > 1 and not (style == "joined" and t in _TYPE["either"]):
             rank = 0 if len(t) >= 4 or t == "rue" else 3 if t == "la" and not p[i].endswith(".") else 2
             yield rank, n, i, "after" if style == "joined" else style, kind, 0
     for ending, kind in _SUFFIX:
@@ -109,14 +115,14 @@ def _types(p: list[str], n: int, i: int) -> Iterator[tuple[int, int, int, str, s
 
 def parsed(entities: DataFrame) -> DataFrame:
     """entity_id with the parts of its address; where they can't be told, ``street`` holds the whole folded text and ``number`` is null."""
-    schema = "entity_id string, number string, kind string, street string, town string, area string"
+    schema = "entity_id string, number string, kind string, street string, town string, area string, code string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                rows.append(parse(text) or (None, None, " ".join(re.findall(r"\w+", plain(text))), None, None))
-            columns = [pa.array([x or None for x in c], pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 5
+                rows.append(parse(text) or (None, None, " ".join(re.findall(r"\w+", plain(text))), None, None, None))
+            columns = [pa.array([x or None for x in c], pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.replace(" string", "").split(", "))
 
     return entities.where("entity_id is not null and trim(address) <> ''").select("entity_id", "address").mapInArrow(run, schema)
@@ -125,35 +131,54 @@ def parsed(entities: DataFrame) -> DataFrame:
 @lru_cache(300_000)
 def alike(a: str, b: str) -> bool:
     """Whether two names of streets or towns differ by typos at most."""
+    if a[:1] == "@" or b[:1] == "@":  # postcodes in place of towns
+        return a == b
     most = 1 if max(len(a), len(b)) <= 6 else 2
-    if ("_" in a) != ("_" in b):
-        return alike(a.split("_")[0], b.split("_")[0])
-    return distance(a, b, most) <= most or distance(fold(a), fold(b), most) <= most
+    if distance(a, b, most) <= most or distance(fold(a), fold(b), most) <= most:
+        return True
+    if "_" in a or "_" in b:
+        whole = re.sub(r"[\W_]", "", a), re.sub(r"[\W_]", "", b)
+        return distance(*whole, 2) <= 2 or ("_" in a) != ("_" in b) and alike(a.split("_")[0], b.split("_")[0])
+    return False
+
+
+def usual_towns(rows: DataFrame, key: str) -> DataFrame:
+    """The town most often written with each value of ``key``, and its share of the addresses that have one: key, town_key, share_key."""
+    counts = rows.where(F.col(key).isNotNull() & F.col("town").isNotNull()).groupBy(key, "town").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(key).agg(F.max(F.struct("n", "town")).alias("top"), F.sum("n").alias("all"))
+    return materialize(best.select(key, F.col("top.town").alias(f"town_{key}"), (F.col("top.n") / F.col("all")).alias(f"share_{key}")), "address-towns")
 
 
 def settle_towns(rows: DataFrame) -> DataFrame:
-    """Towns by postal area: an address without a town takes the one most often written in its area, as does one whose town is a misspelling of it.
+    """Towns by postcode and postal area.
 
-    The counts cover all addresses; areas are joined as a dimension of checked size.
+    A misspelled town becomes the usual one of its door (postcode, number and street type), else of its postal area. An address without a town
+    takes that of its door; else that of its area, if nearly all addresses there are in one town; else its postcode stands for the
+    town and ``towns`` holds those its area is shared by. The counts cover all addresses; the tables are joined as dimensions of checked size.
     """
-    usual = materialize(
-        rows.where("area is not null and town is not null").groupBy("area", "town").agg(F.count(F.lit(1)).alias("n")).groupBy("area").agg(F.max(F.struct("n", "town"))["town"].alias("usual")),
-        "address-areas",
-    )
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([x is not None and y is not None and alike(x, y) for x, y in zip(a, b)], dtype="boolean")
 
-    joined = attach(rows, usual, ["area"])
-    return joined.withColumn("town", F.when(F.col("town").isNull() | near("town", "usual"), F.coalesce("usual", "town")).otherwise(F.col("town"))).drop("usual")
+    rows = rows.withColumn("door", F.concat_ws("|", F.col("code"), "number", "kind")).withColumn("door", F.when(F.col("code").isNotNull(), F.col("door")))
+    joined = attach(attach(rows, usual_towns(rows, "door"), ["door"]), usual_towns(rows, "area"), ["area"])
+    missing = F.coalesce("town_door", F.when(F.col("share_area") >= ONE_TOWN, F.col("town_area")), F.concat(F.lit("@"), "code"))
+    counts = rows.where("area is not null and town is not null").groupBy("area", "town").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(counts.groupBy("area").agg(F.sum("n").alias("all")), "area").where(F.col("n") >= F.col("all") * SHARED_TOWN)
+    shared = materialize(often.groupBy("area").agg(F.array_sort(F.collect_list("town")).alias("towns")), "address-towns")  # at most 1 / SHARED_TOWN a row
+    joined = attach(joined, shared, ["area"])
+    town = F.when(F.col("town").isNull(), missing).when(near("town", "town_door"), F.col("town_door")).when(near("town", "town_area"), F.col("town_area")).otherwise(F.col("town"))
+    joined = joined.withColumn("town", town).withColumn("towns", F.when(F.col("town").startswith("@"), F.col("towns")))
+    return joined.drop("door", "town_door", "share_door", "town_area", "share_area")
 
 
 def place_links(places: DataFrame) -> DataFrame:
     """Pairs of distinct places that are one: same number and street type, alike street and town. a < b.
 
-    The key is number, type and a member of the street's deletion neighbourhood. A place without number (unparsed) or town
-    (none in the address nor in its postal area) matches only its own copies.
+    The key is number, type and a member of the street's deletion neighbourhood. A place whose town is only known to be one of its area's
+    joins the place it finds in one of them, but none if it finds places in several. A place without number (unparsed), or without both town
+    and postcode, matches only its own copies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +192,31 @@ def place_links(places: DataFrame) -> DataFrame:
     full = places.where("number is not null and town is not null")
     index = full.select("pid", "number", "kind", "street").mapInArrow(run, "pid bigint, keys array<bigint>").select("pid", F.explode("keys").alias("k"))
     pairs = index.withColumnRenamed("pid", "a").join(index.withColumnRenamed("pid", "b"), "k").where("a < b").select("a", "b").distinct()
-    side = lambda x: full.select(F.col("pid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("number", "kind", "street", "town")))
+    side = lambda x: full.select(F.col("pid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("number", "kind", "street", "town", "towns")))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where("number_a = number_b and kind_a = kind_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = [batch.column(i).to_pylist() for i in range(2, 6)]
-            keep = pa.array([alike(a, b) and alike(c, d) for a, b, c, d in zip(*v)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+            keep, unsure, town = [], [], []
+            for i, j, sa, sb, ta, tb, ua, ub in zip(*(c.to_pylist() for c in batch.columns)):
+                sure = alike(ta, tb)
+                found = next(((p, t) for p, us, t in ((i, ua, tb), (j, ub, ta)) if not sure and us and t[:1] != "@" and any(alike(u, t) for u in us)), (None, None))
+                keep.append(alike(sa, sb) and (sure or found[0] is not None))
+                unsure.append(found[0])
+                town.append(found[1])
+            columns = [batch.column(0), batch.column(1), pa.array(unsure, pa.int64()), pa.array(town, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "unsure", "town"]).filter(pa.array(keep, pa.bool_()))
+
+    out = met.select("a", "b", "street_a", "street_b", "town_a", "town_b", "towns_a", "towns_b").mapInArrow(verify, "a bigint, b bigint, unsure bigint, town string")
+    out = materialize(out, "address-met")
+    one = out.where("unsure is not null").groupBy("unsure").agg(F.min("town").alias("x"), F.max("town").alias("y"))
+
+    @F.pandas_udf(T.BooleanType())
+    def same(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([alike(p, q) for p, q in zip(x, y)], dtype="boolean")
 
-    return met.select("a", "b", "street_a", "street_b", "town_a", "town_b").mapInArrow(verify, "a bigint, b bigint")
+    settled = out.where("unsure is not null").join(one.where(same("x", "y")).select("unsure"), "unsure", "left_semi").select("a", "b")
+    return out.where("unsure is null").select("a", "b").unionByName(settled)
 
 
 def place_classes(entities: DataFrame) -> DataFrame:
@@ -186,8 +226,8 @@ def place_classes(entities: DataFrame) -> DataFrame:
     Rows with a null id or an empty address have no place.
     """
     rows = settle_towns(materialize(parsed(entities), "address-parts"))
-    rows = materialize(rows.select("entity_id", "number", "kind", "street", "town", F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("number", "kind", "street", "town"))).alias("pid")), "address-places")
-    places = rows.select("pid", "number", "kind", "street", "town").distinct()
+    rows = materialize(rows.select("entity_id", "number", "kind", "street", "town", "towns", F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("number", "kind", "street", "town"))).alias("pid")), "address-places")
+    places = rows.select("pid", "number", "kind", "street", "town", "towns").distinct()
     groups = connected_components(materialize(place_links(places), "address-links"))
     return rows.select("entity_id", "pid").join(groups.withColumnRenamed("node", "pid"), "pid", "left").select("entity_id", F.coalesce("component", "pid").alias("place")).distinct()
 

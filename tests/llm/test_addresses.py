@@ -12,11 +12,11 @@ from finweave.llm import addresses
         ("GB Ardosocham, HR5 2LY 36 Wimuneirc St", ("36", "street", "wimuneirc", "ardosocham", "hr5")), ("DE; 76244 Pelnerstadt; Casebitumwg. 85", ("85", "weg", "casebitum", "pelnerstadt", "762")), ("Po Varevidett 74 piso 13 Elsikum de la Sierra", ("74", "paseo", "varevidett", "elsikum_de_la_sierra", "")),
         ("c/o ulmanrum agents, 123 tamabov drive, yelulinibury, uk", ("123", "drive", "tamabov", "yelulinibury", "")), ("C/ ZANERLINI, Nº 48\n61 795 FAROVACHALES", ("48", "calle", "zanerlini", "farovachales", "617")), ("Avenida Thuegriann, 39, 6º B, 25766 Thuemicales, España", ("39", "avenue", "thuegriann", "thuemicales", "257")),
         ("Solamaterallee 1, Whg. 23, 76215 Pelenerstadt, Deutschland", ("1", "allee", "solamater", "pelenerstadt", "762")), ("Praolobini Platz 137, 27081 Kelomicdorf", ("137", "square", "praolobini", "kelomicdorf", "270")), ("99 r. Norolorard, 56091 Fenorettville, FR", ("99", "rue", "norolorard", "fenorettville", "560")),
-        ("100A Glitodett Av., Yelunachbiry, PK7 3FQ", ("100a", "avenue", "glitodett", "yelunachbiry", "pk7")), ("Hesebibachwg 79 Braarerstadt DE", ("79", "weg", "hesebibach", "braarerstadt", "")), ("Thuaronkell House, 9 Casaltell Rd., Elsirard Bay", ("9", "road", "casaltell", "elsirard_bay", "")),
+        ("100A Glitodett Av., Yelunachbiry, PK7 3FQ", ("100a", "avenue", "glitodett", "yelunachbiry", "pk7")), ("Hesebibachwg 79 Braarerstadt DE", ("79", "weg", "hesebibach", "braarerstadt", "")), ("94231 Dreudumejo Av. Brraanrum, 46", ("46", "avenue", "brraanrum", "dreudumejo", "942")), ("ESPAÑA FAROVACHALES PL. VAREBILELL, Nº 55", ("55", "square", "varebilell", "farovachales", "")), ("Flat 20 / # 117 Velilbach Road / Quileliniham", ("117", "road", "velilbach", "quileliniham", "")), ("Thuaronkell House, 9 Casaltell Rd., Elsirard Bay", ("9", "road", "casaltell", "elsirard_bay", "")),
     ],
 )
 def test_parse(text, want):
-    assert addresses.parse(text) == want
+    assert addresses.parse(text)[:5] == want
 
 
 @pytest.mark.parametrize("text", ["", "nowhere", "PO box", "12", "street"])
@@ -33,7 +33,7 @@ def places(spark, rows):
 
 def test_places(spark):
     same = [
-        "107 Torebikane Avenue, Flat 8, Zanaverford, HX5 5GW, United Kingdom", "GB; ZANAVERFORD, HX55GW; NO. 107 TOREBIKANE AV.", "c/o Some Agents, 107 Torebikame Ave, Zanaverfrod", "107 Torebikane Avenue, HX5 9AA", "107 Torebikane Avenue, Zanaverford",
+        "107 Torebikane Avenue, Flat 8, Zanaverford, HX5 5GW, United Kingdom", "GB; ZANAVERFORD, HX55GW; NO. 107 TOREBIKANE AV.", "c/o Some Agents, 107 Torebikame Ave, Zanaverfrod", "107 Torebikane Avenue, HX5 5GW", "107 Torebikane Avenue, Zanaverford",
     ]
     other = [
         "107A Torebikane Avenue, Zanaverford", "107 Torebikane Road, Zanaverford", "107 Torebikane Avenue, Kelomicton", "109 Torebikane Avenue, Zanaverford", "107 Pelitarov Avenue, Zanaverford", "107 Torebikane Avenue", None, "", "  ",
@@ -45,6 +45,12 @@ def test_places(spark):
     assert places(spark, []) == set() and places(spark, [None]) == set()
 
 
+def test_two_towns_in_one_postal_area(spark):
+    rows = ["1 Long Road, Farovton, AB1 2CD", "1 Long Road, AB1 2CD", "1 Long Road, Pelibury, AB1 9ZZ", "1 Long Road, AB1 9ZZ", "1 Long Road, AB1 7QQ", "1 Long Rd., AB1 7QQ", *(f"{k} Other Road, Pelibury, AB1 {k}XX" for k in range(2, 4))]
+    assert places(spark, rows) == {("00", "01"), ("02", "03"), ("04", "05")}  # a third postcode could be in either town
+    assert places(spark, ["7 Long Road, Farovton", "7 Long Rd, AB1 7QQ", *(f"{k} Other Road, {t}, AB1 {k}XY" for k, t in enumerate(["Farovton", "Pelibury"] * 3, 2))]) == {("00", "01")}
+
+
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([("a", "1 Long Road, Farovton"), ("a", "1 Long Road, Farovton"), ("b", "1 Long Rd., Farovton"), (None, "1 Long Road, Farovton")], "entity_id string, address string")
     assert [tuple(r) for r in addresses.same_place(df).collect()] == [("a", "b")]

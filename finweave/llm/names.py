@@ -158,7 +158,7 @@ def similar(a: str, b: str, more: int = 0) -> float:
 
 
 def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, list[tuple[int, int]]]:
-    """The assignment of tokens with the greatest total similarity, and its pairs."""
+    """The assignment of tokens with the greatest total similarity, and its pairs; tokens beyond the 8th of the shorter and the 12th of the longer name stay unassigned."""
     if len(a) > len(b):
         total, pairs = align(b, a)
         return total, [(j, i) for i, j in pairs]

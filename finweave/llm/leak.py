@@ -14,12 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finweave.session import materialize
+
 #: Least words of an item that a document must hold, changed words included.
 PASSAGE = 16
 #: Words of a test string; the share of documents above which a word tells nothing about an item, unless it is a reference: so long and with a digit.
 WINDOW, COMMON, REFERENCE = 3, 0.0025, 7
-#: Changed, dropped or added words in a row that don't end a passage; telling words that a passage must hold unchanged.
+#: Changed, dropped or added words in a row that don't end a passage; telling words that a passage with changes must hold unchanged.
 GAP, TELLING = 2, 2
+#: Share of changed words up to which passages without rare words are looked at; and up to which a passage is so near its item that it says
+#: nothing about how common its words are elsewhere. Texts made from a template change more of their words than NEAR.
+CHANGED, NEAR = 0.25, 0.15
 #: Test strings are made of so many items at a time; the corpus is searched once for each block of items.
 ITEMS_PER_BLOCK = 20_000
 BLOCK, TABLE_BITS, LANE = 4, 20, 4096
@@ -117,15 +122,15 @@ class WuManber:
         return hits
 
 
-def passage(item: Item, doc: list[str], telling: set[str]) -> tuple[int, int, int] | None:
-    """The longest passage of the item in these words, as (counting words, unchanged ones, first word), if it is a leak.
+def passages(item: Item, matcher: SequenceMatcher) -> Iterator[tuple[list[int], list[int], int]]:
+    """The passages of the item in the matcher's second sequence: places in the item of the counting words that are unchanged, of those that aren't, and first word.
 
-    Runs of equal words form one passage while at most GAP words in a row differ. House words connect but don't count. At least
-    TELLING telling words must be unchanged, and more of them than changed, for texts made from one template share the rest.
+    Runs of equal words form one passage while at most GAP words in a row differ. House words connect but don't count.
     """
-    blocks = [b for b in SequenceMatcher(None, item.words, doc, autojunk=False).get_matching_blocks() if b.size]
-    best, k = None, 0
-    counts = lambda a, b: [w for w, h in zip(item.words[a:b], item.house[a:b]) if not h]
+    matcher.set_seq1(item.words)
+    blocks = [b for b in matcher.get_matching_blocks() if b.size]
+    k = 0
+    counts = lambda a, b: [i for i in range(a, b) if not item.house[i]]
     while k < len(blocks):
         n = k
         same, other = counts(blocks[k].a, blocks[k].a + blocks[k].size), []
@@ -136,11 +141,30 @@ def passage(item: Item, doc: list[str], telling: set[str]) -> tuple[int, int, in
             other += counts(a, blocks[n + 1].a)
             n += 1
             same += counts(blocks[n].a, blocks[n].a + blocks[n].size)
-        kept, lost = sum(w in telling for w in same), sum(w in telling for w in other)
-        if len(same) + len(other) >= PASSAGE and kept >= TELLING and kept > lost:
-            best = max(best or (0,), (len(same) + len(other), len(same), blocks[k].b))
+        if len(same) + len(other) >= PASSAGE:
+            yield same, other, blocks[k].b
         k = n + 1
-    return best
+
+
+def leaked(item: Item, same: list[int], other: list[int], telling: set[str]) -> bool:
+    """Whether a passage is a leak: its words are all unchanged, or at least TELLING telling words are, and more of them than changed.
+
+    Texts made from one template share the rest.
+    """
+    kept, lost = (sum(item.words[i] in telling for i in x) for x in (same, other))
+    return len(same) >= PASSAGE and not other or kept >= TELLING and kept > lost
+
+
+def may_hold(item: Item, doc: set[str]) -> bool:
+    """Whether some PASSAGE counting words in a row of the item can be in these words with a share of at most CHANGED changed."""
+    held = [w in doc for w, h in zip(item.words, item.house) if not h]
+    least = PASSAGE * (1 - CHANGED)
+    n = sum(held[:PASSAGE])
+    for k in range(PASSAGE, len(held)):
+        if n >= least:
+            return True
+        n += held[k] - held[k - PASSAGE]
+    return n >= least
 
 
 def word_counts(documents: DataFrame, text: str, vocabulary: set[str]) -> dict[str, int]:
@@ -172,25 +196,31 @@ def leaks(documents: DataFrame, doc_id: str, text: str, eval_items: DataFrame, i
     items = read_items(rows)
     count = word_counts(documents, text, {w for x in items for w in x.words}) if items else {}
     limit = max(1, COMMON * count.get("", 0))
-    schema = "doc_id bigint, item_id bigint, words int, unchanged int, at_word int"
-    parts = [_search(documents, doc_id, text, items[k : k + ITEMS_PER_BLOCK], count, limit, schema) for k in range(0, len(items), ITEMS_PER_BLOCK)]
+    parts = [_search(documents, doc_id, text, items[k : k + ITEMS_PER_BLOCK], count, limit) for k in range(0, len(items), ITEMS_PER_BLOCK)]
     if not parts:
-        return documents.sparkSession.createDataFrame([], schema)
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, words int, unchanged int, at_word int")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
 
 
-def _search(documents: DataFrame, doc_id: str, text: str, items: list[Item], count: dict[str, int], limit: float, schema: str) -> DataFrame:
-    # a reference stays telling however many documents hold it, so an item that leaked into a third of the corpus is still found
+def _search(documents: DataFrame, doc_id: str, text: str, items: list[Item], count: dict[str, int], limit: float) -> DataFrame:
+    """The leaks of one block of items, in two steps: passages that are leaks or near their item, then those that are leaks by each item's own telling words."""
+    # a reference stays telling however many documents hold it
     telling = {w for x in items for w in x.words if count.get(w, 0) <= limit or (len(w) >= REFERENCE and not w.isalpha())}
     owners: dict[bytes, set[int]] = defaultdict(set)
+    telling_owners: set[tuple[bytes, int]] = set()
     for n, x in enumerate(items):
         for k in range(len(x.words) - WINDOW + 1):
             window = x.words[k : k + WINDOW]
-            if not any(x.house[k : k + WINDOW]) and telling.intersection(window) and sum(map(len, window)) >= 2 * BLOCK:
-                owners["".join(window).encode()].add(n)
+            pattern = "".join(window).encode()
+            if not any(x.house[k : k + WINDOW]) and len(pattern) >= BLOCK:
+                owners[pattern].add(n)
+                if telling.intersection(window):
+                    telling_owners.add((pattern, n))
+    names = ["doc_id", "n", "same", "other", "at_word", "sure"]
+    types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = WuManber(list(owners))
@@ -199,25 +229,78 @@ def _search(documents: DataFrame, doc_id: str, text: str, items: list[Item], cou
                 batch = whole.slice(at, 500)
                 ids, split = batch.column(0).to_pylist(), [words(t) for t in batch.column(1).to_pylist()]
                 hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+                told: set[tuple[int, int]] = set()
                 for t, position, p in index.search(["".join(ws).encode() for ws in split]):
-                    for n in owners[index.patterns[p]]:
+                    pattern = index.patterns[p]
+                    for n in owners[pattern]:
                         hits[t, n].append(position)
+                        if (pattern, n) in telling_owners:
+                            told.add((t, n))
+                held: dict[int, set[str]] = {}
+                begins: dict[int, np.ndarray] = {}
+                matchers: dict[tuple[int, int, int], SequenceMatcher] = {}  # they index their second sequence once
                 out = []
                 for (t, n), positions in hits.items():
-                    starts = np.concatenate([[0], np.cumsum([len(w.encode()) for w in split[t]])])
-                    reach, best = 2 * len(items[n].words), None
+                    if t not in held:
+                        held[t] = set(split[t])
+                        begins[t] = np.concatenate([[0], np.cumsum([len(w.encode()) for w in split[t]])])
+                    if (t, n) not in told and not may_hold(items[n], held[t]):
+                        continue
+                    reach = 2 * len(items[n].words)
                     spans: list[list[int]] = []
-                    for w in sorted(set((np.searchsorted(starts, positions, "right") - 1).tolist())):
+                    for w in sorted(set((np.searchsorted(begins[t], positions, "right") - 1).tolist())):
                         if spans and w - reach <= spans[-1][1]:
                             spans[-1][1] = w + reach
                         else:
                             spans.append([max(0, w - reach), w + reach])
                     for a, b in spans:
-                        if r := passage(items[n], split[t][a:b], telling):
-                            best = max(best or (0,), (r[0], r[1], r[2] + a))
-                    if best:
-                        out.append((ids[t], items[n].item_id, *best))
+                        place = t, a, min(b, len(split[t]))
+                        if place not in matchers:
+                            matchers[place] = SequenceMatcher(None, b=split[t][a:b], autojunk=False)
+                        for same, other, first in passages(items[n], matchers[place]):
+                            sure = leaked(items[n], same, other, telling)
+                            if sure or len(other) <= CHANGED * (len(same) + len(other)):
+                                out.append((ids[t], n, same, other, first + a, sure))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "words", "unchanged", "at_word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), types)], names)
 
-    return documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, schema)
+    found = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint"), text).mapInArrow(run, "doc_id bigint, n int, same array<int>, other array<int>, at_word int, sure boolean")
+    found = materialize(found, "leak-passages")
+    own = own_words(found, items, count, limit, telling)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, n, same, other, first, sure in zip(*(c.to_pylist() for c in batch.columns)):
+                if sure or n in own and leaked(items[n], same, other, telling | own[n]):
+                    out.append((doc, items[n].item_id, n, len(same) + len(other), len(same), first))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "item_id", "n", "words", "unchanged", "at_word"])
+
+    out = found.mapInArrow(settle, "doc_id bigint, item_id bigint, n int, words int, unchanged int, at_word int")
+    best = F.max(F.struct("words", "unchanged", "at_word")).alias("best")
+    return out.groupBy("doc_id", "item_id", "n").agg(best).select("doc_id", "item_id", "best.words", "best.unchanged", "best.at_word")
+
+
+def own_words(found: DataFrame, items: list[Item], count: dict[str, int], limit: float, telling: set[str]) -> dict[int, set[str]]:
+    """Words that are common only by the passages near an item, by item: a leak doesn't make its own words common, in however many documents it is.
+
+    Counted are documents, at most one row for each word of the items.
+    """
+    common = {w: c for w, c in count.items() if c > limit and w not in telling}
+    near = found.where(F.size("other") <= NEAR * (F.size("same") + F.size("other"))).select("doc_id", "n", F.explode("same").alias("i"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, places = (c.to_pylist() for c in batch.columns)
+            rows = [(d, n, w) for d, n, i in zip(ids, at, places) if (w := items[n].words[i]) in common]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "n", "word"])
+
+    rows = near.mapInArrow(run, "doc_id bigint, n int, word string").groupBy("n", "word").agg(F.countDistinct("doc_id").alias("near"))
+    out: dict[int, set[str]] = defaultdict(set)
+    for n, w, k in rows.collect():
+        if common[w] - k <= limit:
+            out[n].add(w)
+    return dict(out)

@@ -60,3 +60,16 @@ def test_leaks(spark):
     finally:
         leak.ITEMS_PER_BLOCK = kept
     assert leak.leaks(d.limit(0), "doc_id", "text", i, "item_id", "item_text").count() == 0 and leak.leaks(d, "doc_id", "text", i.limit(0), "item_id", "item_text").count() == 0
+
+
+def test_hot_item_without_references(spark):
+    """An item in a third of the corpus makes its own words common, but is found, also edited; texts of its template are not."""
+    r = random.Random(5)
+    name = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    form = lambda: f"Please tell {name()} that the {name()} statement of {name()} covers only the days before {name()} closed its account at {name()} and {name()} left."
+    item = form()
+    w = item.split()
+    copies = {k: " ".join(x if n != k % len(w) else "changed" for n, x in enumerate(w)) if k % 2 else item for k in range(0, 300, 3)}
+    docs = [(k, f"{sentence(r, 20)} {copies.get(k) or form()} {sentence(r, 9)}") for k in range(300)]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, item_text string")
+    assert {x["doc_id"] for x in leak.leaks(d, "doc_id", "text", i, "item_id", "item_text").collect()} == set(copies)

@@ -57,6 +57,11 @@ def cycle_reachable(spark: SparkSession, d: str) -> DataFrame:
     return graph.reaching_cycles(flagged_edges(spark, d))
 
 
+def cycle_reachable_all(spark: SparkSession, d: str) -> DataFrame:
+    """Of each account in the whole network, whether money can run in a circle from it."""
+    return graph.reaching_cycles(edges(spark, d))
+
+
 def network_payload(spark: SparkSession, d: str) -> DataFrame:
     """Flagged edges with both ends' countries and a short label of the amount."""
     e = flagged_edges(spark, d).select("edge_id", F.col("src").alias("source_account_id"), F.col("dst").alias("destination_account_id"), "amount", "currency")
@@ -92,7 +97,7 @@ def er_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    degree_centrality, network_stats, top_nodes, layering_nodes, suspicious_paths, cycle_reachable, network_payload, er_normalize_name, er_normalize_address, er_pairs, er_components, er_network, er_merged,
+    degree_centrality, network_stats, top_nodes, layering_nodes, suspicious_paths, cycle_reachable, cycle_reachable_all, network_payload, er_normalize_name, er_normalize_address, er_pairs, er_components, er_network, er_merged,
 )}
 
 _EDGES = f"""{VALID_SQL}, e AS (SELECT transaction_id AS edge_id, source_account_id AS src, destination_account_id AS dst, epoch_us(transaction_timestamp) / 1e6 AS ts, CAST(amount AS DOUBLE) AS amount, flagged, currency FROM valid),

@@ -35,9 +35,8 @@ INSIDE = [
 CARE_OF = r"\b(?:c/\s*o|care of|z\.\s*hd\.|a/a)\b\.?\s+[^\W\d_]+\s+(?:agents?|family|office|familie|famille|familia)\b"
 HOUSE = r"\b[^\W\d_]+\s+house\b"
 NOT_TOWNS = {"unit", "flat", "apartment", "appt", "piso", "house", "hinterhaus", "etage", "family", "office", "agents", "puerta"}
-#: Share of an area's addresses in one town from which the area tells the town; towns written in other ways take up the rest.
-#: Least share of a town that counts as one of its area's.
-ONE_TOWN, SHARED_TOWN = 0.8, 0.05
+#: Share of an area's distinct places in one town from which two like addresses there without towns are taken for one place.
+ONE_TOWN = 0.8
 
 _TYPE: dict[str, dict[str, str]] = {
     style: {w: k for k, v in table.items() for w in v.split()} for style, table in (("after", AFTER), ("before", BEFORE), ("either", EITHER), ("joined", JOINED))
@@ -142,42 +141,50 @@ def alike(a: str, b: str) -> bool:
     return False
 
 
+@F.pandas_udf(T.BooleanType())
+def near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and y is not None and alike(x, y) for x, y in zip(a, b)], dtype="boolean")
+
+
 def usual_towns(rows: DataFrame, key: str) -> DataFrame:
-    """The town most often written with each value of ``key``, and its share of the addresses that have one: key, town_key, share_key."""
-    counts = rows.where(F.col(key).isNotNull() & F.col("town").isNotNull()).groupBy(key, "town").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy(key).agg(F.max(F.struct("n", "town")).alias("top"), F.sum("n").alias("all"))
-    return materialize(best.select(key, F.col("top.town").alias(f"town_{key}"), (F.col("top.n") / F.col("all")).alias(f"share_{key}")), "address-towns")
+    """The town most often written with each value of ``key``, and the share of places in it, however it is written: key, town_key, share_key.
+
+    Distinct places count, so an address that many rows hold counts once; the number of rows decides between towns with as many places.
+    """
+    places = rows.where(F.col(key).isNotNull() & F.col("town").isNotNull()).groupBy(key, "town", "number", "kind", "street").agg(F.count(F.lit(1)).alias("rows"))
+    counts = materialize(places.groupBy(key, "town").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")), "address-towns")
+    best = counts.groupBy(key).agg(F.max(F.struct("n", "rows", "town")).alias("top"), F.sum("n").alias("all"))
+    own = counts.join(best, key).groupBy(key).agg(F.first("top.town").alias(f"town_{key}"), (F.sum(F.when(near("town", "top.town"), F.col("n")).otherwise(0)) / F.first("all")).alias(f"share_{key}"))
+    return materialize(own, "address-towns")
 
 
 def settle_towns(rows: DataFrame) -> DataFrame:
     """Towns by postcode and postal area.
 
     A misspelled town becomes the usual one of its door (postcode, number and street type), else of its postal area. An address without a town
-    takes that of its door; else that of its area, if nearly all addresses there are in one town; else its postcode stands for the
-    town and ``towns`` holds those its area is shared by. The counts cover all addresses; the tables are joined as dimensions of checked size.
+    takes that of its door or its spot (postal area, number, street), if these tell one; else its postcode stands for the town, and ``usual`` is the town
+    that nearly all distinct places of its area are in. The counts cover all addresses; the tables are joined as dimensions of checked size.
     """
-
-    @F.pandas_udf(T.BooleanType())
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([x is not None and y is not None and alike(x, y) for x, y in zip(a, b)], dtype="boolean")
-
     rows = rows.withColumn("door", F.concat_ws("|", F.col("code"), "number", "kind")).withColumn("door", F.when(F.col("code").isNotNull(), F.col("door")))
-    joined = attach(attach(rows, usual_towns(rows, "door"), ["door"]), usual_towns(rows, "area"), ["area"])
-    missing = F.coalesce("town_door", F.when(F.col("share_area") >= ONE_TOWN, F.col("town_area")), F.concat(F.lit("@"), "code"))
-    counts = rows.where("area is not null and town is not null").groupBy("area", "town").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.join(counts.groupBy("area").agg(F.sum("n").alias("all")), "area").where(F.col("n") >= F.col("all") * SHARED_TOWN)
-    shared = materialize(often.groupBy("area").agg(F.array_sort(F.collect_list("town")).alias("towns")), "address-towns")  # at most 1 / SHARED_TOWN a row
-    joined = attach(joined, shared, ["area"])
+    rows = rows.withColumn("spot", F.when(F.col("area").isNotNull(), F.concat_ws("|", "area", "number", "kind", "street")))
+    joined = rows
+    for key in ("door", "spot", "area"):
+        joined = attach(joined, usual_towns(rows, key), [key])
+    at_code = F.concat(F.lit("@"), "code")
+    missing = (
+        F.when(F.col("share_door") == 1, F.col("town_door")).when(F.col("share_spot") == 1, F.col("town_spot")).when(F.col("town_spot").isNotNull(), at_code)
+        .otherwise(F.coalesce("town_door", at_code))
+    )
     town = F.when(F.col("town").isNull(), missing).when(near("town", "town_door"), F.col("town_door")).when(near("town", "town_area"), F.col("town_area")).otherwise(F.col("town"))
-    joined = joined.withColumn("town", town).withColumn("towns", F.when(F.col("town").startswith("@"), F.col("towns")))
-    return joined.drop("door", "town_door", "share_door", "town_area", "share_area")
+    usual = F.when(town.startswith("@") & (F.col("share_area") >= ONE_TOWN), F.col("town_area"))
+    return joined.withColumn("usual", usual).withColumn("town", town).select(*rows.columns, "usual").drop("door", "spot")
 
 
-def place_links(places: DataFrame) -> DataFrame:
+def place_links(places: DataFrame, areas: DataFrame) -> DataFrame:
     """Pairs of distinct places that are one: same number and street type, alike street and town. a < b.
 
     The key is number, type and a member of the street's deletion neighbourhood. A place whose town is only known to be one of its area's
-    joins the place it finds in one of them, but none if it finds places in several. A place without number (unparsed), or without both town
+    (``areas``: each area with all towns written in it) joins the place it finds in one of them, but none if it finds places in several. A place without number (unparsed), or without both town
     and postcode, matches only its own copies.
     """
 
@@ -192,30 +199,31 @@ def place_links(places: DataFrame) -> DataFrame:
     full = places.where("number is not null and town is not null")
     index = full.select("pid", "number", "kind", "street").mapInArrow(run, "pid bigint, keys array<bigint>").select("pid", F.explode("keys").alias("k"))
     pairs = index.withColumnRenamed("pid", "a").join(index.withColumnRenamed("pid", "b"), "k").where("a < b").select("a", "b").distinct()
-    side = lambda x: full.select(F.col("pid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("number", "kind", "street", "town", "towns")))
+    side = lambda x: full.select(F.col("pid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("number", "kind", "street", "town", "area", "usual")))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where("number_a = number_b and kind_a = kind_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, unsure, town = [], [], []
-            for i, j, sa, sb, ta, tb, ua, ub in zip(*(c.to_pylist() for c in batch.columns)):
-                sure = alike(ta, tb)
-                found = next(((p, t) for p, us, t in ((i, ua, tb), (j, ub, ta)) if not sure and us and t[:1] != "@" and any(alike(u, t) for u in us)), (None, None))
+            keep, unsure, area, town = [], [], [], []
+            for i, j, sa, sb, ta, tb, ra, rb, ua, ub in zip(*(c.to_pylist() for c in batch.columns)):
+                sure = alike(ta, tb) or bool(ua and ub and ra == rb)
+                open_a, open_b = ta[:1] == "@", tb[:1] == "@"
+                found = (None, None, None) if sure or open_a == open_b else (i, ra, tb) if open_a else (j, rb, ta)
                 keep.append(alike(sa, sb) and (sure or found[0] is not None))
                 unsure.append(found[0])
-                town.append(found[1])
-            columns = [batch.column(0), batch.column(1), pa.array(unsure, pa.int64()), pa.array(town, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "unsure", "town"]).filter(pa.array(keep, pa.bool_()))
+                area.append(found[1])
+                town.append(found[2])
+            columns = [batch.column(0), batch.column(1), pa.array(unsure, pa.int64()), pa.array(area, pa.string()), pa.array(town, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "unsure", "area", "town"]).filter(pa.array(keep, pa.bool_()))
 
-    out = met.select("a", "b", "street_a", "street_b", "town_a", "town_b", "towns_a", "towns_b").mapInArrow(verify, "a bigint, b bigint, unsure bigint, town string")
+    out = met.select("a", "b", "street_a", "street_b", "town_a", "town_b", "area_a", "area_b", "usual_a", "usual_b").mapInArrow(verify, "a bigint, b bigint, unsure bigint, area string, town string")
     out = materialize(out, "address-met")
-    one = out.where("unsure is not null").groupBy("unsure").agg(F.min("town").alias("x"), F.max("town").alias("y"))
-
-    @F.pandas_udf(T.BooleanType())
-    def same(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([alike(p, q) for p, q in zip(x, y)], dtype="boolean")
-
-    settled = out.where("unsure is not null").join(one.where(same("x", "y")).select("unsure"), "unsure", "left_semi").select("a", "b")
+    asked = out.where("unsure is not null")
+    written = areas.withColumnRenamed("town", "written")
+    there = asked.select("area", "town").distinct().join(written, "area").where(near("town", "written")).select("area", "town").distinct()
+    asked = materialize(asked.join(there, ["area", "town"], "left_semi"), "address-asked")
+    one = asked.groupBy("unsure").agg(F.min("town").alias("x"), F.max("town").alias("y"))
+    settled = asked.join(one.where(near("x", "y")).select("unsure"), "unsure", "left_semi").select("a", "b")
     return out.where("unsure is null").select("a", "b").unionByName(settled)
 
 
@@ -226,9 +234,12 @@ def place_classes(entities: DataFrame) -> DataFrame:
     Rows with a null id or an empty address have no place.
     """
     rows = settle_towns(materialize(parsed(entities), "address-parts"))
-    rows = materialize(rows.select("entity_id", "number", "kind", "street", "town", "towns", F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("number", "kind", "street", "town"))).alias("pid")), "address-places")
-    places = rows.select("pid", "number", "kind", "street", "town", "towns").distinct()
-    groups = connected_components(materialize(place_links(places), "address-links"))
+    # the area is part of a place only where a postcode stands for its town
+    area = F.when(F.col("town").startswith("@"), F.col("area")).alias("area")
+    rows = materialize(rows.select("entity_id", "number", "kind", "street", "town", "usual", area, F.col("area").alias("postal"), F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("number", "kind", "street", "town"))).alias("pid")), "address-places")
+    places = rows.select("pid", "number", "kind", "street", "town", "area", "usual").distinct()
+    areas = rows.where("postal is not null and town is not null and area is null").select(F.col("postal").alias("area"), "town").distinct()
+    groups = connected_components(materialize(place_links(places, areas), "address-links"))
     return rows.select("entity_id", "pid").join(groups.withColumnRenamed("node", "pid"), "pid", "left").select("entity_id", F.coalesce("component", "pid").alias("place")).distinct()
 
 

@@ -54,3 +54,22 @@ def test_two_towns_in_one_postal_area(spark):
 def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([("a", "1 Long Road, Farovton"), ("a", "1 Long Road, Farovton"), ("b", "1 Long Rd., Farovton"), (None, "1 Long Road, Farovton")], "entity_id string, address string")
     assert [tuple(r) for r in addresses.same_place(df).collect()] == [("a", "b")]
+
+
+def test_a_hot_address_does_not_move_others(spark):
+    """Copies of one address say nothing about the town of others in its postal area."""
+    rows = ["5 Other Road, Pelibury, AB1 9ZZ", "5 Other Rd, AB1 7QQ", "8 Smaltun Road, Pelibury, AB1 9ZY", "8 Smalton Rd, AB1 7QR", *["1 Long Road, Farovton, AB1 2CD"] * 60]
+    assert {p for p in places(spark, rows) if p[0] < "04"} == {("00", "01"), ("02", "03")}
+
+
+def test_area_with_many_towns(spark):
+    towns = ["Farovton", "Pelibury", "Zanaverford", "Kelomicton", "Dovestabum", "Ostewick", "Ulmilford", "Braeterham", "Lunilgate", "Vanibridge", "Jaredmouth", "Torinales", "Solanvale", "Quilebay", "Rudurstead", "Hiroked",
+             "Maratown", "Nephewick", "Karamere", "Welbourne", "Gorsefield", "Cindlecombe", "Yelland", "Ibberpool"]
+    rows = [f"{k + 1} Long Lane, {t}, AB1 {k % 10}{chr(65 + k)}X" for k, t in enumerate(towns)] + ["7 Long Lane, AB1 9QQ", "8 Lomg Lane, AB1 9QR"]
+    assert places(spark, rows) == {("06", "24"), ("07", "25")}
+
+
+def test_one_town_area_with_an_exception(spark):
+    """Nearly all places of an area are in one town, but a place is found in another."""
+    rows = ["5 Smaltun Road, Pelibury, AB1 9ZZ", "5 Smalton Rd, AB1 7QQ", *(f"{k} Long Road, Farovton, AB1 2C{chr(65 + k)}" for k in range(6, 16)), "90 Third Road, AB1 8AA", "90 Third Rd, AB1 8AB"]
+    assert places(spark, rows) == {("00", "01"), ("12", "13")}

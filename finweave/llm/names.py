@@ -158,15 +158,17 @@ def similar(a: str, b: str, more: int = 0) -> float:
 
 
 def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, list[tuple[int, int]]]:
-    """The assignment of tokens with the greatest total similarity, and its pairs; tokens beyond the 8th of the shorter and the 12th of the longer name stay unassigned."""
+    """The assignment of tokens with the greatest total similarity, and its pairs: over sets of used tokens, for long names by the Hungarian method."""
     if len(a) > len(b):
         total, pairs = align(b, a)
         return total, [(j, i) for i, j in pairs]
+    if len(a) > 8 or len(b) > 12:
+        return _align_long(a, b)
     best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    for i, x in enumerate(a[:8]):
+    for i, x in enumerate(a):
         new = dict(best)
         for used, (total, pairs) in best.items():
-            for j, y in enumerate(b[:12]):
+            for j, y in enumerate(b):
                 if not used >> j & 1 and (s := similar(x, y)):
                     s -= 0.01 * abs(i - j)
                     if new.get(used | 1 << j, (-1.0,))[0] < total + s:
@@ -176,6 +178,38 @@ def align(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, list[tuple[int
     return total, list(pairs)
 
 
+def _align_long(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, list[tuple[int, int]]]:
+    """``align`` in cubic time, by shortest augmenting paths with potentials; ``a`` isn't longer than ``b``. Tokens that gain nothing stay unassigned."""
+    gain = [[max(0.0, s - 0.01 * abs(i - j)) if (s := similar(x, y)) else 0.0 for j, y in enumerate(b)] for i, x in enumerate(a)]
+    n, m = len(a), len(b)
+    u, v, row, back = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row[0], at = i, 0
+        least, done = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row[at]:
+            done[at] = True
+            k, step, to = row[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not done[j]:
+                    cost = -gain[k - 1][j - 1] - u[k] - v[j]
+                    if cost < least[j]:
+                        least[j], back[j] = cost, at
+                    if least[j] < step:
+                        step, to = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = to
+        while at:
+            row[at] = row[back[at]]
+            at = back[at]
+    pairs = sorted((row[j] - 1, j - 1) for j in range(1, m + 1) if row[j] and gain[row[j] - 1][j - 1] > 0)
+    return sum(gain[i][j] for i, j in pairs), pairs
+
+
 def _rest(x: tuple[str, ...], pairs: list[tuple[int, int]], side: int) -> list[int]:
     used = {p[side] for p in pairs}
     return [i for i in range(len(x)) if i not in used]
@@ -245,7 +279,9 @@ def _same_organisation(a: str, b: str) -> bool:
 
 @lru_cache(500_000)
 def same_name(a: str, b: str, is_person: bool) -> bool:
-    """Whether two names are forms of one name."""
+    """Whether two names are forms of one name; equal ones are."""
+    if plain(a).split() == plain(b).split() != []:
+        return True
     return _same_person(a, b) if is_person else _same_organisation(a, b)
 
 

@@ -100,3 +100,13 @@ def test_hot_attribute_is_split_by_name(spark):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
     n = names.candidates(names.prepare(df)).count()
     assert n < len(rows) * (len(rows) - 1) // 2
+
+
+def test_long_names():
+    w = "Varitol Zanuneano Kelomicton Braeterson Ulmilvard Dovestabum Pelimell Rosedeber Torinal Quilebivard Loramadov Jarevisard Golitotett Haloloter".split()
+    assert names.same_name(" ".join(w), " ".join(w), False) and names.same_name(" ".join(w) + " Ltd", " ".join(w) + " Limited", False)
+    assert names.same_name(" ".join(w[:11]), " ".join([*w[:9], "Quilebivart", w[10]]), True) and not names.same_name(" ".join(w), " ".join([*w[:13], "Sowmick"]), False)
+    assert sorted(names.align(tuple(w), tuple(reversed(w)))[1]) == [(k, 13 - k) for k in range(14)]
+    for k in range(6):
+        x, y = tuple(w[k : k + 5] + ["R"]), tuple(t[: 3 + n] for n, t in enumerate(reversed(w[k + 1 : k + 8])))
+        assert abs(names.align(x, y)[0] - names._align_long(x, y)[0]) < 1e-9

@@ -217,7 +217,7 @@ def _search(documents: DataFrame, doc_id: str, text: str, items: list[Item], cou
             pattern = "".join(window).encode()
             if not any(x.house[k : k + WINDOW]) and len(pattern) >= BLOCK:
                 owners[pattern].add(n)
-                if telling.intersection(window):
+                if telling.intersection(window) and len(pattern) >= 2 * BLOCK:
                     telling_owners.add((pattern, n))
     names = ["doc_id", "n", "same", "other", "at_word", "sure"]
     types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.bool_()]
@@ -229,13 +229,13 @@ def _search(documents: DataFrame, doc_id: str, text: str, items: list[Item], cou
                 batch = whole.slice(at, 500)
                 ids, split = batch.column(0).to_pylist(), [words(t) for t in batch.column(1).to_pylist()]
                 hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-                told: set[tuple[int, int]] = set()
+                told: dict[tuple[int, int], list[int]] = defaultdict(list)
                 for t, position, p in index.search(["".join(ws).encode() for ws in split]):
                     pattern = index.patterns[p]
                     for n in owners[pattern]:
                         hits[t, n].append(position)
                         if (pattern, n) in telling_owners:
-                            told.add((t, n))
+                            told[t, n].append(position)
                 held: dict[int, set[str]] = {}
                 begins: dict[int, np.ndarray] = {}
                 matchers: dict[tuple[int, int, int], SequenceMatcher] = {}  # they index their second sequence once
@@ -247,14 +247,17 @@ def _search(documents: DataFrame, doc_id: str, text: str, items: list[Item], cou
                     if (t, n) not in told and not may_hold(items[n], held[t]):
                         continue
                     reach = 2 * len(items[n].words)
-                    spans: list[list[int]] = []
-                    for w in sorted(set((np.searchsorted(begins[t], positions, "right") - 1).tolist())):
-                        if spans and w - reach <= spans[-1][1]:
-                            spans[-1][1] = w + reach
-                        else:
-                            spans.append([max(0, w - reach), w + reach])
+                    spans: dict[tuple[int, int], None] = {}
+                    for some in (told.get((t, n), []), positions):  # a wider span may align another way, so that of the telling strings is kept
+                        joined: list[list[int]] = []
+                        for w in sorted(set((np.searchsorted(begins[t], some, "right") - 1).tolist())):
+                            if joined and w - reach <= joined[-1][1]:
+                                joined[-1][1] = w + reach
+                            else:
+                                joined.append([max(0, w - reach), w + reach])
+                        spans |= {(x, min(y, len(split[t]))): None for x, y in joined}
                     for a, b in spans:
-                        place = t, a, min(b, len(split[t]))
+                        place = t, a, b
                         if place not in matchers:
                             matchers[place] = SequenceMatcher(None, b=split[t][a:b], autojunk=False)
                         for same, other, first in passages(items[n], matchers[place]):

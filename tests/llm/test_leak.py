@@ -73,3 +73,68 @@ def test_hot_item_without_references(spark):
     docs = [(k, f"{sentence(r, 20)} {copies.get(k) or form()} {sentence(r, 9)}") for k in range(300)]
     d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item)], "item_id bigint, item_text string")
     assert {x["doc_id"] for x in leak.leaks(d, "doc_id", "text", i, "item_id", "item_text").collect()} == set(copies)
+
+
+COMMON = "the a of and to in that it was for on with as his they at be this from have or by one had not but what all were when we there can an your which said".split()
+
+
+def test_ordinary_words_only(spark):
+    """An item made of the commonest words of the corpus is found in however many documents it is, whole or with single words edited."""
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choices(COMMON, k=n)).capitalize() + "."
+    item = text(40)
+    edited = item.split()
+    edited[3], edited[19], edited[31] = "people", "people", "people"
+    for copies in (1, 2, 60, 200):
+        docs = [(k, f"{text(30)} {(item if k % 2 else ' '.join(edited)) if k < copies else text(30)} {text(20)}") for k in range(300)]
+        found = leak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([(1, item)], "item_id bigint, item_text string"), "item_id", "item_text")
+        assert {x["doc_id"] for x in found.collect()} == set(range(copies))
+
+
+def test_texts_of_one_form_differ_in_names(spark):
+    form = "After the interview in {} on {} the officer asked {} to explain why the firm {} had moved so much money abroad."
+    fill = ("Torinales", "3.5.2024", "Viktor", "Belimex")
+    item = form.format(*fill)
+    docs = [(1, item), (2, form.format("Wimelburg", "9.7.2023", "Orla", "Tatrasil")), (3, form.format("Wimelburg", "9.7.2023", "Viktor", "Tatrasil")), (4, item.replace("officer", "clerk").upper()), (5, item.replace("Viktor ", ""))]
+    found = leak.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([(1, item)], "item_id bigint, item_text string"), "item_id", "item_text")
+    assert {x["doc_id"] for x in found.collect()} == {1, 4, 5}
+
+
+def brute_leaked(item, run):
+    """All parts of a passage by their definition."""
+    best = 0
+    for a in range(len(run)):
+        for b in range(a + leak.PASSAGE, len(run) + 1):
+            part = run[a:b]
+            if part[0][1] and part[-1][1]:
+                edits = sum(not x for _, x, _ in part) + sum(n for _, _, n in part[1:])
+                lost, kept = sum(item.name[i] and not x for i, x, _ in part), sum(item.own[i] and x for i, x, _ in part)
+                if edits * leak.EDITS <= b - a and (not lost or kept >= leak.KEPT * lost):
+                    best = max(best, b - a)
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([True] * 9 + [False]), st.sampled_from([0] * 9 + [1]), st.booleans(), st.booleans()), min_size=16, max_size=60))
+def test_leaked_by_definition(marks):
+    n = len(marks)
+    item = leak.Item(1, ["w"] * n, [False] * n, [m[2] for m in marks], [m[2] and m[3] for m in marks])
+    run = [(k, m[0], m[1] if m[0] else 0) for k, m in enumerate(marks)]
+    got = leak.leaked(item, run)
+    assert (got[0] if got else 0) == brute_leaked(item, run)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(16, 40), st.data())
+def test_filter_never_drops_a_leak(n, data):
+    """Whatever is edited within the limits, the document keeps enough test strings and words to be aligned."""
+    ws = [f"w{k}abc" for k in range(n)]
+    (item,) = leak.read_items([(1, " ".join(ws))])
+    doc = list(ws)
+    for k in sorted(data.draw(st.sets(st.integers(1, n - 2), max_size=n // leak.EDITS)), reverse=True):
+        doc[k : k + 1] = data.draw(st.sampled_from([["other"], [], [doc[k], "more"]]))
+    index = leak.index_items([item])
+    found = list(index.near(index.search.search(["".join(doc).encode()])))
+    assert [(t, k) for t, k, _ in found] == [(0, 0)]
+    lost = sum(w not in doc for w in ws)
+    assert lost == 0 or n - lost < leak.KEPT * lost or leak.may_hold(item, set(doc))

@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.spelling import allowed, distance, fold, key, neighbourhood, plain
-from finweave.operators.components import connected_components
+from finweave.llm.spelling import allowed, distance, fold, key, meet, neighbourhood, plain
+from finweave.operators.components import connected_components, pairs_within
 from finweave.session import materialize
 
 # Short and foreign forms of given names.
 NICKNAMES = {
-    "abdelkader": "abdel kader abdul abd abdulkadir abdelqader", "aleksandra": "alexandra sasha ola sandra", "alexander": "alex sandy aleksandr alexandre sascha",
+    "andrew": "andy drew andreas", "anthony": "tony anton", "benjamin": "ben benny", "daniel": "dan danny", "david": "dave davy", "dorothy": "dot dotty dolly dorothea", "henry": "harry hank henri", "john": "jack johnny jon",
+    "joseph": "joe joey jose", "matthew": "matt matthias", "samuel": "sam sammy", "thomas": "tom tommy", "abdelkader": "abdel kader abdul abd abdulkadir abdelqader", "aleksandra": "alexandra sasha ola sandra", "alexander": "alex sandy aleksandr alexandre sascha",
     "amara": "", "antonio": "tony toni anton", "bjorn": "bjoern", "charles": "chas chuck charlie carl karl", "christopher": "chris kit kristof christoph topher",
     "clara": "klara", "dmitri": "dima dmitry dimitri mitya", "edward": "ed eddie ned ted eduard", "eleanor": "ellie nell leonor elinor nora", "elizabeth": "beth liz betty eliza lisa elisabeth",
     "emeka": "chukwuemeka", "farida": "fareeda", "francisco": "frank paco fran pancho", "francois": "franck frans frank", "frederick": "fred freddy friedrich fritz freddie",
@@ -45,7 +46,6 @@ LINES = {
 }
 MIDDLES = {"general": "gen", "brothers": "bros", "international": "intl int", "associated": "assoc assd"}
 
-_GIVEN = {fold(w): fold(k) for k, v in NICKNAMES.items() for w in v.split()} | {fold(k): fold(k) for k in NICKNAMES}
 _NICK: dict[str, set[str]] = {}
 for _k, _v in NICKNAMES.items():
     for _w in [_k, *_v.split()]:
@@ -149,7 +149,7 @@ def similar(a: str, b: str, more: int = 0) -> float:
         return 0.8
     most = allowed(x, y) + more
     d = min(distance(x, y, most), distance(u, v, most))
-    if d <= most:
+    if d <= most and (d <= 2 or meet(u, v)):  # never more than the index finds
         return 0.9 - 0.1 * d
     for given, other in ((u, v), (v, u)):
         if len(other) >= 4 and any(len(n := fold(w)) >= 4 and distance(n, other, 1) <= 1 for k in _NICK.get(given, ()) for w in [k, *NICKNAMES[k].split()]):
@@ -285,82 +285,101 @@ def same_name(a: str, b: str, is_person: bool) -> bool:
     return _same_person(a, b) if is_person else _same_organisation(a, b)
 
 
-def index_keys(name: str, is_person: bool) -> tuple[list[int], bool]:
-    """Members of the symmetric-delete neighbourhoods of the name's telling tokens; whether it is a bare acronym.
+def index_keys(name: str, is_person: bool) -> list[tuple[int, bool, bool]]:
+    """Keys by which forms of a name meet: (key, rough, short). Two names meet in a key that isn't rough, or in a rough one that either has as a short form.
 
-    Telling are surnames and words other than those of business in general. An organisation also gets the key of its first
-    letter's class, by which bare acronyms find it.
+    Keys are the members of the symmetric-delete neighbourhoods of the telling tokens: surnames, and words other than those of business in general and common given
+    names. Surnames that are given names too meet by these. Rough keys are the first two letters of telling tokens, by which abbreviated ones find them, and
+    an organisation's first letter, by which bare acronyms find it.
     """
+    out: dict[tuple[int, bool], bool] = {}
+
+    def add(text: str, rough: bool = False, short: bool = False) -> None:
+        k = key(text), rough
+        out[k] = out.get(k, False) or short
+
     if is_person:
         given, last = person(name)
-        tokens = [fold(t.rstrip(".")) for t in given + last]
-        telling = [t for t in tokens if t not in _NICK and len(t) > 2] or tokens
-        return [key(m) for t in dict.fromkeys(telling) for m in neighbourhood(t)], False
-    words, _, short = organisation(name)
-    telling = [fold(w) for w in words if w not in LINES and w not in MIDDLES and len(w) > 2] or [fold(w) for w in words if len(w) > 2]
-    first = (short or "".join(w[0] for w in words))[:1]
-    letters = {fold(c) for c in (short or "".join(w[0] for w in words))} if not words else {fold(first)}
-    keys = [key(m) for t in dict.fromkeys(telling) for m in neighbourhood(t)] + [key("\0" + c) for c in sorted(letters) if c]
-    return keys, not words
-
-
-def _index(rows: DataFrame) -> DataFrame:
+        tokens = [(t, fold(t.rstrip("."))) for t in last] + [(t, fold(t.rstrip("."))) for t in given if fold(t.rstrip(".")) not in _NICK]
+        tokens = [(t, f) for t, f in tokens if len(f) > 2 or t.endswith(".")] or [(t, fold(t.rstrip("."))) for t in given + last]
+        for _, f in tokens:
+            for k in _NICK.get(f, ()):
+                add("\2" + k)
+    else:
+        words, _, acronym = organisation(name)
+        tokens = [(w, fold(w)) for w in words if w not in LINES and w not in MIDDLES and len(w) > 2] or [(w, fold(w)) for w in words if len(w) > 2]
+        letters = acronym or "".join(w[0] for w in words)
+        for c in {fold(c) for c in letters} if not words else {fold(letters[:1])}:
+            if c:
+                add("\0" + c, True, not words)
+    for t, f in tokens:
+        for m in neighbourhood(f):
+            add(m)
+        add("\1" + f[:2], True, len(f) <= 4 or t.endswith("."))
+    return [(k, rough, short) for (k, rough), short in out.items()]
+
+
+_KEYS = pa.list_(pa.struct([("k", pa.int64()), ("rough", pa.bool_()), ("short", pa.bool_())]))
+
+
+def _index(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = {key("\0" + chr(c)) for c in range(97, 123)}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                keys, rough = [], []
-                for name, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    k, short = index_keys(name, p)
-                    keys.append([{"k": x, "letter": x in letters} for x in dict.fromkeys(k)])
-                    rough.append(short)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(rough, pa.bool_()), pa.array(keys, pa.list_(pa.struct([("k", pa.int64()), ("letter", pa.bool_())])))], ["rid", "short", "keys"]
-                )
+                keys = [[{"k": k, "rough": r, "short": s} for k, r, s in index_keys(n, p)] for n, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, _KEYS)], ["node", "keys"])
 
-    return rows.select("rid", "name", "is_person").mapInArrow(run, "rid bigint, short boolean, keys array<struct<k: bigint, letter: boolean>>")
+    return nodes.select("node", "name", "is_person").mapInArrow(run, "node string, keys array<struct<k: bigint, rough: boolean, short: boolean>>")
 
 
 def prepare(entities: DataFrame) -> DataFrame:
-    """The columns that matter, cleaned: rid, entity_id, name, is_person, nid, dob, accounts. Rows without id or name can't be linked."""
+    """The columns that matter, cleaned: entity_id, name, is_person, nid, dob, accounts, node. Rows without id or name can't be linked.
+
+    ``node`` stands for all rows that are sure to be one party: those with one name, national_id and dob, if either is known; else each of the row's accounts
+    is a node with the name, all of one party. So however many rows repeat a name with one attribute, they are compared once. Its number has 128 bits.
+    """
     nid = F.nullif(F.upper(F.regexp_replace("national_id", r"[\s\-]", "")), F.lit(""))
-    return entities.where("entity_id is not null and trim(name) <> ''").select(
-        F.xxhash64("entity_id").alias("rid"), "entity_id", "name", (F.coalesce("entity_type", F.lit("")) == "INDIVIDUAL").alias("is_person"),
-        nid.alias("nid"), F.nullif(F.trim("dob"), F.lit("")).alias("dob"), F.array_distinct(F.filter(F.coalesce("account_numbers", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))).alias("accounts"),
-    ).distinct()
+    rows = entities.where("entity_id is not null and trim(name) <> ''").select(
+        "entity_id", "name", (F.coalesce("entity_type", F.lit("")) == "INDIVIDUAL").alias("is_person"), nid.alias("nid"), F.nullif(F.trim("dob"), F.lit("")).alias("dob"),
+        F.array_sort(F.array_distinct(F.filter(F.coalesce("account_numbers", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))).alias("accounts"),
+    )
+    number = lambda *c: F.md5(F.to_json(F.struct("name", "is_person", *c)))
+    by_account = F.transform("accounts", lambda x: number(x.alias("account")))
+    known = F.col("nid").isNotNull() | F.col("dob").isNotNull()
+    nodes = F.when(known, F.array(number("nid", "dob"))).when(F.size("accounts") > 0, by_account).otherwise(F.array(F.md5(F.to_json(F.struct("entity_id")))))
+    return rows.distinct().withColumn("nodes", nodes)
+
+
+def attributes(rows: DataFrame) -> DataFrame:
+    """What nodes agree by: node, attr; values that one node alone has are left out."""
+    hashed = lambda kind, x: F.xxhash64(F.lit(kind), x)
+    own = F.array_compact(F.array(F.when(F.col("nid").isNotNull(), hashed("nid", F.col("nid"))), F.when(F.col("dob").isNotNull(), hashed("dob", F.col("dob")))))
+    known = rows.where("nid is not null or dob is not null").select(F.col("nodes")[0].alias("node"), F.explode(F.concat(own, F.transform("accounts", lambda x: hashed("account", x)))).alias("attr"))
+    others = rows.where("nid is null and dob is null").select(F.explode(F.arrays_zip("nodes", "accounts")).alias("x")).where("x.accounts is not null").select("x.nodes", hashed("account", F.col("x.accounts")))
+    attrs = materialize(known.union(others).distinct(), "names-attributes")
+    shared = attrs.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("attr")
+    return attrs.join(shared, "attr")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of rows that agree in an attribute and share a member of a token's neighbourhood: ra < rb.
+def candidates(attrs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes that agree in an attribute and whose names meet in the index: a < b.
 
-    The join key is the hash of attribute value and neighbourhood member, so a value that a third of all rows hold
-    is split by name. Values held once are left out before the index is exploded.
+    The join key is the hash of attribute value and index key, so a value that a third of all rows hold is split by name; the value's own
+    hash is compared besides.
     """
-    attrs = rows.select(
-        "rid", F.explode(F.array_compact(F.concat(
-            F.array(F.when(F.col("nid").isNotNull(), F.xxhash64(F.lit("nid"), "nid")), F.when(F.col("dob").isNotNull(), F.xxhash64(F.lit("dob"), "dob"))),
-            F.transform("accounts", lambda x: F.xxhash64(F.lit("account"), x)),
-        ))).alias("attr"),
-    )
-    shared = attrs.groupBy("attr").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("attr")
-    index = (
-        attrs.join(shared, "attr")
-        .join(_index(rows), "rid")
-        .select("rid", "short", "attr", F.explode("keys").alias("x"))
-        .select(F.xxhash64("attr", "x.k").alias("k"), "rid", "short", F.col("x.letter").alias("letter"))
-    )
-    right = index.select("k", F.col("rid").alias("rb"), F.col("short").alias("short_b"), F.col("letter").alias("letter_b"))  # the same columns, so that the exchange is reused
-    return index.withColumnRenamed("rid", "ra").join(right, "k").where("ra < rb and letter = letter_b and (not letter or short or short_b)").select("ra", "rb").distinct()
+    index = attrs.join(_index(nodes), "node").select("node", "attr", F.explode("keys").alias("x")).select(F.xxhash64("attr", "x.k").alias("k"), "attr", "node", F.col("x.rough").alias("rough"), F.col("x.short").alias("short"))
+    right = index.select("k", F.col("attr").alias("attr_b"), F.col("node").alias("b"), F.col("rough").alias("rough_b"), F.col("short").alias("short_b"))  # the same columns, so that the exchange is reused
+    met = index.withColumnRenamed("node", "a").join(right, "k").where("a < b and attr = attr_b and rough = rough_b and (not rough or short or short_b)")
+    return met.select("a", "b").distinct()
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """Verified pairs: names are forms of one name, an attribute agrees, neither national_id nor dob contradicts."""
-    columns = ["name", "is_person", "nid", "dob", "accounts"]
-    side = lambda s: rows.select(F.col("rid").alias(f"r{s}"), *(F.col(c).alias(f"{c}_{s}") for c in columns))
-    agree = F.coalesce(F.col("nid_a") == F.col("nid_b"), F.lit(False)) | F.coalesce(F.col("dob_a") == F.col("dob_b"), F.lit(False)) | F.arrays_overlap("accounts_a", "accounts_b")
+    """Verified pairs of nodes: an attribute agrees, names are forms of one name, neither national_id nor dob contradicts; and the nodes of one row."""
+    nodes = rows.select(F.explode("nodes").alias("node"), "name", "is_person", "nid", "dob").distinct()
+    side = lambda s: nodes.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("name", "is_person", "nid", "dob")))
     against = F.coalesce(F.col("nid_a") != F.col("nid_b"), F.lit(False)) | F.coalesce(F.col("dob_a") != F.col("dob_b"), F.lit(False))
-    met = candidates(rows).join(side("a"), "ra").join(side("b"), "rb").where(agree & ~against & (F.col("is_person_a") == F.col("is_person_b")))
+    met = candidates(attributes(rows), nodes).join(side("a"), "a").join(side("b"), "b").where(~against & (F.col("is_person_a") == F.col("is_person_b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,15 +387,18 @@ def links(rows: DataFrame) -> DataFrame:
             keep = pa.array([same_name(*sorted((x, y)), z) for x, y, z in zip(a, b, p)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    return met.select("ra", "rb", "name_a", "name_b", "is_person_a").mapInArrow(run, "a bigint, b bigint")
+    verified = met.select("a", "b", "name_a", "name_b", "is_person_a").mapInArrow(run, "a string, b string")
+    of_a_row = rows.where(F.size("nodes") > 1).select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes"))).alias("b")).distinct()
+    return verified.union(of_a_row)
 
 
 def parties(entities: DataFrame) -> DataFrame:
     """Each row with an id and a name, and its party: entity_id, party. Rows without a link are a party of their own."""
     rows = materialize(prepare(entities), "names-rows")
     groups = materialize(connected_components(materialize(links(rows), "names-links")), "names-groups")
-    member = rows.select(F.col("rid").alias("node"), "entity_id").distinct().join(groups, "node", "left")
-    return member.select("entity_id", F.coalesce("component", "node").alias("party")).distinct()
+    # an id in several rows is one row for the result, so its nodes are one party
+    member = rows.select("entity_id", F.col("nodes")[0].alias("node")).distinct().join(groups, "node", "left").select("entity_id", F.coalesce("component", "node").alias("party")).distinct()
+    return member
 
 
 def same_party(entities: DataFrame) -> DataFrame:
@@ -384,6 +406,4 @@ def same_party(entities: DataFrame) -> DataFrame:
 
     Rows with a null id or an empty name are in no pair; an id that occurs in several rows is one row for the result.
     """
-    member = materialize(parties(entities), "names-parties")
-    other = member.select("party", F.col("entity_id").alias("entity_id_b"))
-    return member.withColumnRenamed("entity_id", "entity_id_a").join(other, "party").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+    return pairs_within(materialize(parties(entities), "names-parties"), "party", "entity_id")

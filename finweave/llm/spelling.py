@@ -60,13 +60,18 @@ def allowed(a: str, b: str) -> int:
 
 @lru_cache(200_000)
 def neighbourhood(token: str) -> tuple[str, ...]:
-    """The token's prefix with up to two letters deleted: tokens at most two edits apart share a member."""
+    """The token's prefix with up to two letters deleted: tokens of three letters or more that are at most two edits apart share a member."""
     head = token[:PREFIX]
     once = {head[:i] + head[i + 1 :] for i in range(len(head))}
-    twice = {t[:i] + t[i + 1 :] for t in once for i in range(len(t))} if len(token) >= 5 else set()
+    twice = {t[:i] + t[i + 1 :] for t in once for i in range(len(t))} if len(token) >= 3 else set()
     return tuple(sorted({head} | once | twice))
 
 
+def meet(a: str, b: str) -> bool:
+    """Whether two folded tokens share a member of their neighbourhoods, so that an index of these brings them together."""
+    return not set(neighbourhood(a)).isdisjoint(neighbourhood(b))
+
+
 def key(text: str) -> int:
     """A signed 64-bit hash."""
     return int.from_bytes(xxhash.xxh64_digest(text.encode()), "big", signed=True)

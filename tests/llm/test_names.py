@@ -1,6 +1,7 @@
 """Forms of names, the deletion index against brute force, and chains of links."""
 
 import itertools
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +10,14 @@ from hypothesis import strategies as st
 from finweave.llm import names
 from finweave.llm.spelling import distance, fold, neighbourhood
 
+
+
+def meet(a, b, is_person):
+    """Whether the index brings two names together."""
+    x, y = ({(k, rough): short for k, rough, short in names.index_keys(n, is_person)} for n in (a, b))
+    return any(not key[1] or x[key] or y[key] for key in x.keys() & y.keys())
+
+
 SCHEMA = "entity_id string, name string, entity_type string, national_id string, dob string, account_numbers array<string>, rid string, component string"
 
 
@@ -23,7 +32,7 @@ SCHEMA = "entity_id string, name string, entity_type string, national_id string,
 )
 def test_same_person(a, b):
     assert names.same_name(a, b, True) and names.same_name(b, a, True)
-    assert set(names.index_keys(a, True)[0]) & set(names.index_keys(b, True)[0])
+    assert meet(a, b, True)
 
 
 @pytest.mark.parametrize(
@@ -46,7 +55,7 @@ def test_other_person(a, b):
 )
 def test_same_organisation(a, b):
     assert names.same_name(a, b, False) and names.same_name(b, a, False)
-    assert set(names.index_keys(a, False)[0]) & set(names.index_keys(b, False)[0])
+    assert meet(a, b, False)
 
 
 @pytest.mark.parametrize("a, b", [("Ardandotunebini Electronics Corp", "Ardandotunebini Textiles Corp"), ("Ardan Electronics Corp", "Ardan Electronics GmbH"), ("Golilalard Motors", "Pelitarov Motors"), ("B.T. LLC", "Braidov Foods LLC"), ("", "Braidov Foods")])
@@ -97,9 +106,84 @@ def test_same_party(spark):
 
 def test_hot_attribute_is_split_by_name(spark):
     rows = [(f"{k:03d}", f"{g} {s}", "INDIVIDUAL", None, "1970-01-01", None) for k, (g, s) in enumerate(itertools.product(["Rosa", "Hugo"], [f"{chr(97 + i)}{'bdfgl'[i]}{'aeo'[j]}{'rtn'[j]}surov" for i in range(5) for j in range(3)]))]
+    assert pairs_met(spark, rows) < len(rows) * (len(rows) - 1) // 2
+
+
+def pairs_met(spark, rows):
+    prepared = names.prepare(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA))
+    nodes = prepared.selectExpr("explode(nodes) as node", "name", "is_person", "nid", "dob").distinct()
+    return names.candidates(names.attributes(prepared), nodes).count()
+
+
+@pytest.mark.parametrize("nid, dob, accounts", [("A-1", None, None), (None, "1970-01-01", ["H"]), (None, None, ["H"])])
+def test_copies_are_compared_once(spark, nid, dob, accounts):
+    """Rows of one name with one attribute are one node, whatever else they have."""
+    copies = [(f"c{k:04d}", "Noor Kelazabini", "INDIVIDUAL", nid, dob, [*accounts, f"own{k}"] if accounts else None) for k in range(300)]
+    rows = [*copies, ("x", "N. Kelazabyni", "INDIVIDUAL", nid, dob, accounts), ("y", "Rosa Elsilrane", "INDIVIDUAL", nid, dob, accounts)]
+    assert pairs_met(spark, rows) <= 2
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
-    n = names.candidates(names.prepare(df)).count()
-    assert n < len(rows) * (len(rows) - 1) // 2
+    parties = {r["entity_id"]: r["party"] for r in names.parties(df).collect()}
+    assert len(parties) == 302 and len({p for i, p in parties.items() if i != "y"}) == 1 and len(set(parties.values())) == 2
+
+
+def test_one_id_in_several_rows(spark):
+    rows = [("1", "Noor Kelazabini", "INDIVIDUAL", "N1", None, None), ("1", "Rosa Elsilrane", "INDIVIDUAL", "N2", None, None), ("2", "N. Kelazabini", "INDIVIDUAL", "N1", None, None), ("3", "R. Elsilrane", "INDIVIDUAL", "N2", None, None)]
+    assert party(spark, rows) == {("1", "2"), ("1", "3")}
+
+
+TOKEN = st.text("abcdeimnorsuy", min_size=6, max_size=15)
+
+
+@settings(max_examples=400, deadline=None)
+@given(TOKEN, st.lists(st.tuples(st.integers(0, 14), st.sampled_from(["", "x", "e"]), st.booleans()), max_size=4))
+def test_index_is_as_wide_as_the_comparison(token, edits):
+    """Whatever spelling of a surname is accepted, the index brings the two names together."""
+    other = token
+    for at, c, insert in edits:
+        other = other[:at] + c + other[at + (not insert) :]
+    for given in ("", "Rosa "):
+        a, b = f"{given}{token.capitalize()}", f"{given}{other.capitalize()}"
+        doubled = distance(token, other, 2) <= 2 < distance(fold(token), fold(other), 2)  # a letter between doubled ones
+        if names.same_name(a, b, True) and not doubled:
+            assert meet(a, b, True)
+
+
+def test_abbreviated_and_shared_surnames():
+    for a, b in [("Rosa Kelazabini", "Rosa Kela"), ("Dorothy Smithson", "Dot Smithson"), ("Henry James", "Harry James")]:
+        assert names.same_name(a, b, True) and meet(a, b, True)
+
+
+def test_every_accepted_pair_is_found(spark):
+    """Links of whole tables against a comparison of all rows that share an attribute."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    rows = names.prepare(spark.read.parquet(f"{folder}/entities.parquet")).collect()
+    of = {r["entity_id"]: r for r in rows}
+    groups = {}
+    for r in rows:
+        for x in [("n", r["nid"]), ("d", r["dob"]), *(("a", a) for a in r["accounts"])]:
+            if x[1]:
+                groups.setdefault(x, []).append(r["entity_id"])
+    root = {i: i for i in of}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for ids in groups.values():
+        for i, j in itertools.combinations(ids, 2):
+            a, b = of[i], of[j]
+            apart = any(a[c] and b[c] and a[c] != b[c] for c in ("nid", "dob"))
+            if not apart and a["is_person"] == b["is_person"] and names.same_name(*sorted((a["name"], b["name"])), a["is_person"]):
+                root[find(i)] = find(j)
+    classes = {}
+    for i in of:
+        classes.setdefault(find(i), []).append(i)
+    want = {p for c in classes.values() for p in itertools.combinations(sorted(c), 2)}
+    got = {tuple(r) for r in names.same_party(spark.read.parquet(f"{folder}/entities.parquet")).collect()}
+    assert want and got == want
 
 
 def test_long_names():

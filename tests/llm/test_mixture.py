@@ -3,6 +3,7 @@
 import os
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,22 +14,26 @@ from finweave.llm import mixture
 TARGETS = "source string, target_weight double, max_repeats int, n_tokens string"
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 60), min_size=1, max_size=8))
-def test_schedule_is_fair(weights):
-    n, slots = mixture.schedule([float(w) for w in weights])
-    assert sorted(t for s in slots for t in s) == list(range(n))
-    total = sum(len(s) for s in slots)
-    for s in slots:
-        share, done = len(s) / total, 0
-        for t in range(n):
-            done += t in s
-            assert abs(done - share * (t + 1)) < 1
+def deviation(weights, blocks):
+    """The greatest distance in blocks of a source from its share, over all points of the schedule."""
+    slots = mixture.schedule(weights, blocks)
+    assert (np.sort(np.concatenate(slots)) == np.arange(blocks)).all()
+    worst = 0.0
+    for w, s in zip(weights, slots):
+        share, n = w / sum(weights), np.arange(len(s))
+        worst = max([worst, *(np.abs(n - share * s)), *(np.abs(n + 1 - share * (s + 1)))])  # just before and just after each block
+    return worst
 
 
-def test_long_periods_are_rounded():
-    n, slots = mixture.schedule([1 / 997, 1 / 991, 0.3], 100)
-    assert n <= 102 and min(len(s) for s in slots) >= 1
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 60).map(float), st.floats(1e-3, 1.0)), min_size=1, max_size=8), st.integers(1, 3000))
+def test_schedule_is_fair(weights, blocks):
+    assert deviation(weights, blocks) < 1 + 1e-9
+
+
+@pytest.mark.parametrize("weights", [(0.30103, 0.47712, 0.22185), (0.12345, 0.87655), (0.00001, 0.99999)])
+def test_long_schedules_do_not_drift(weights):
+    assert deviation(list(weights), 1_000_000) < 1 + 1e-6
 
 
 def tokens(spark, sizes):
@@ -71,6 +76,25 @@ def test_mix(spark, monkeypatch):
     assert {tuple(r) for r in mixture.mix(t, targets, block).collect()} == {tuple(r) for r in rows}
 
 
+def test_wanted_size(spark):
+    """A small source falls short of its share of a wanted size instead of making the mixture small."""
+    t = tokens(spark, {"big": [10] * 900, "mid": [10] * 500, "tiny": [10] * 5})
+    targets = spark.createDataFrame([("big", 5.0, 1, "x"), ("mid", 3.0, 2, "x"), ("tiny", 2.0, 2, "x")], TARGETS)
+    assert mixture.mix(t, targets, 50).agg(F.sum("n_tokens")).first()[0] == 500
+    m = mixture.mix(t, targets, 50, size=15_000)
+    report = {r["source"]: r for r in mixture.shares(m, t, targets).collect()}
+    assert {s: r["tokens"] for s, r in report.items()} == {"big": 7500, "mid": 4500, "tiny": 100}
+    assert report["tiny"]["mean_repeats"] == 2 and report["tiny"]["actual_share"] == pytest.approx(100 / 12_100)
+    early = sorted(m.collect(), key=lambda r: r["slot"])[:40]
+    assert {r["source"] for r in early} == {"big", "mid", "tiny"}
+
+
+def test_blocks_grow_with_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "BLOCKS", 20)
+    t, targets = tokens(spark, {"a": [10] * 300, "b": [10] * 300}), spark.createDataFrame([("a", 1.0, 1, "x"), ("b", 1.0, 1, "x")], TARGETS)
+    assert mixture.mix(t, targets, 10).select("slot").distinct().count() <= 22 and mixture.mix(t, targets, 10).count() == 600
+
+
 def test_empty(spark):
     t, targets = tokens(spark, {"a": [1]}), spark.createDataFrame([("a", 1.0, 1, "x")], TARGETS)
     assert mixture.mix(t.limit(0), targets).count() == 0 and mixture.mix(t, targets.limit(0)).count() == 0

@@ -330,7 +330,7 @@ def _index(nodes: DataFrame) -> DataFrame:
                 keys = [[{"k": k, "rough": r, "short": s} for k, r, s in index_keys(n, p)] for n, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, _KEYS)], ["node", "keys"])
 
-    return nodes.select("node", "name", "is_person").mapInArrow(run, "node string, keys array<struct<k: bigint, rough: boolean, short: boolean>>")
+    return nodes.select("node", "name", "is_person").mapInArrow(run, "node binary, keys array<struct<k: bigint, rough: boolean, short: boolean>>")
 
 
 def prepare(entities: DataFrame) -> DataFrame:
@@ -344,10 +344,10 @@ def prepare(entities: DataFrame) -> DataFrame:
         "entity_id", "name", (F.coalesce("entity_type", F.lit("")) == "INDIVIDUAL").alias("is_person"), nid.alias("nid"), F.nullif(F.trim("dob"), F.lit("")).alias("dob"),
         F.array_sort(F.array_distinct(F.filter(F.coalesce("account_numbers", F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")))).alias("accounts"),
     )
-    number = lambda *c: F.md5(F.to_json(F.struct("name", "is_person", *c)))
+    number = lambda *c: F.unhex(F.md5(F.to_json(F.struct("name", "is_person", *c))))
     by_account = F.transform("accounts", lambda x: number(x.alias("account")))
     known = F.col("nid").isNotNull() | F.col("dob").isNotNull()
-    nodes = F.when(known, F.array(number("nid", "dob"))).when(F.size("accounts") > 0, by_account).otherwise(F.array(F.md5(F.to_json(F.struct("entity_id")))))
+    nodes = F.when(known, F.array(number("nid", "dob"))).when(F.size("accounts") > 0, by_account).otherwise(F.array(F.unhex(F.md5(F.to_json(F.struct("entity_id"))))))
     return rows.distinct().withColumn("nodes", nodes)
 
 
@@ -387,7 +387,7 @@ def links(rows: DataFrame) -> DataFrame:
             keep = pa.array([same_name(*sorted((x, y)), z) for x, y, z in zip(a, b, p)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
-    verified = met.select("a", "b", "name_a", "name_b", "is_person_a").mapInArrow(run, "a string, b string")
+    verified = met.select("a", "b", "name_a", "name_b", "is_person_a").mapInArrow(run, "a binary, b binary")
     of_a_row = rows.where(F.size("nodes") > 1).select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes"))).alias("b")).distinct()
     return verified.union(of_a_row)
 
@@ -397,7 +397,7 @@ def parties(entities: DataFrame) -> DataFrame:
     rows = materialize(prepare(entities), "names-rows")
     groups = materialize(connected_components(materialize(links(rows), "names-links")), "names-groups")
     # an id in several rows is one row for the result, so its nodes are one party
-    member = rows.select("entity_id", F.col("nodes")[0].alias("node")).distinct().join(groups, "node", "left").select("entity_id", F.coalesce("component", "node").alias("party")).distinct()
+    member = rows.select("entity_id", F.col("nodes")[0].alias("node")).distinct().join(groups, "node", "left").select("entity_id", F.hex(F.coalesce("component", "node")).alias("party")).distinct()
     return member
 
 

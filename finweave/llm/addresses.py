@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from finweave.llm.spelling import distance, fold, key, neighbourhood, plain
-from finweave.operators.components import connected_components
+from finweave.operators.components import connected_components, pairs_within
 from finweave.session import attach, materialize
 
 # Street types that stand after the name, before it, at the end of it, and those that do either.
-AFTER = {"street": "street st str", "road": "road rd", "lane": "lane ln la", "drive": "drive dr drv"}
-BEFORE = {"calle": "calle cl c/", "paseo": "paseo po pº ps", "plaza": "plaza pza pz", "avenida": "avenida avda", "rue": "rue r", "chemin": "chemin ch chem che"}
-JOINED = {"strasse": "strasse str", "weg": "weg wg", "platz": "platz pl", "allee": "allee al"}
-EITHER = {"avenue": "avenue ave av aven", "boulevard": "boulevard blvd boul bd bvd", "square": "pl plz"}
-#: Types that one abbreviation can mean, by the style of the address.
-SAME = {"avenida": "avenue", "plaza": "square", "platz": "square", "strasse": "street"}
-# Names of countries.
-COUNTRIES = {
-    "gb": "united kingdom|great britain|u\\.k\\.|uk|gb|england", "de": "deutschland|germany|allemagne|alemania|de", "es": "españa|espana|spain|spanien|es", "fr": "france|frankreich|francia|fr",
+AFTER = {"street": "street st str", "road": "road rd", "lane": "lane ln la", "drive": "drive dr drv", "way": "way", "crescent": "crescent cres", "terrace": "terrace", "close": "close", "court": "court ct"}
+BEFORE = {
+    "calle": "calle cl c/", "paseo": "paseo po pº ps", "plaza": "plaza pza pz", "avenida": "avenida avda", "rue": "rue r", "chemin": "chemin ch chem che", "via": "via", "viale": "viale", "piazza": "piazza", "corso": "corso",
+    "largo": "largo", "rua": "rua", "quai": "quai",
 }
+JOINED = {"strasse": "strasse str", "weg": "weg wg", "platz": "platz pl", "allee": "allee al", "gasse": "gasse", "straat": "straat", "laan": "laan"}
+EITHER = {"avenue": "avenue ave av aven", "boulevard": "boulevard blvd boul bd bvd", "square": "square place pl plz"}
+#: Types that one abbreviation can mean, by the style of the address.
+SAME = {"avenida": "avenue", "viale": "avenue", "plaza": "square", "piazza": "square", "platz": "square", "strasse": "street", "straat": "street"}
+# Names of countries, and codes of countries, which count only at either end of a part.
+COUNTRIES = "united kingdom|great britain|u\\.k\\.|england|deutschland|germany|allemagne|alemania|españa|espana|spain|spanien|france|frankreich|francia|italia|italy|italien|portugal|nederland|netherlands"
+COUNTRY_CODES = "uk|gb|de|es|fr|it|nl|pt"
+# Small words in names of streets and towns.
+SMALL = set("a al am an auf au aux da dal de del della delle den der des di do dos du el em im in la las le les lo los na of on sous sub sur the under upon und y zu zum zur".split())
 # Parts inside a building, and lines that name a recipient or a house.
 INSIDE = [
     r"\b(?:flat|flt|apartment|apt|unit|suite|whg|wohnung|hinterhaus|vorderhaus|piso|pta|puerta|appt|app|appartement|b[aâ]t|batiment|esc|escalera)\b\.?\s*(?:\d{1,3}[a-z]?\b|[a-z]\b(?!\s*/))",
@@ -35,21 +39,24 @@ INSIDE = [
 CARE_OF = r"\b(?:c/\s*o|care of|z\.\s*hd\.|a/a)\b\.?\s+[^\W\d_]+\s+(?:agents?|family|office|familie|famille|familia)\b"
 HOUSE = r"\b[^\W\d_]+\s+house\b"
 NOT_TOWNS = {"unit", "flat", "apartment", "appt", "piso", "house", "hinterhaus", "etage", "family", "office", "agents", "puerta"}
-#: Share of an area's distinct places in one town from which two like addresses there without towns are taken for one place.
-ONE_TOWN = 0.8
 
 _TYPE: dict[str, dict[str, str]] = {
     style: {w: k for k, v in table.items() for w in v.split()} for style, table in (("after", AFTER), ("before", BEFORE), ("either", EITHER), ("joined", JOINED))
 }
 _SUFFIX = sorted(((w, k) for k, v in JOINED.items() for w in v.split()), key=lambda x: -len(x[0]))
-_UK = re.compile(r"\b([a-z]{1,2})(\d{1,2})\s?(\d[a-z]{2})\b")
+_UK = re.compile(r"\b([a-z]{1,2}\d[a-z\d]?)\s?(\d[a-z]{2})\b")
 _DIGITS = re.compile(r"\b(\d{2})\s?(\d{3})\b")
+_COUNTRY = re.compile(rf"(?:^|(?<=[,;/\n\s]))(?:{plain(COUNTRIES)})(?=$|[,;/\n\s])|(?:^|(?<=[,;/\n]))\s*(?:{COUNTRY_CODES})(?=$|[,;/\n\s])|(?<=\s)(?:{COUNTRY_CODES})(?=\s*(?:$|[,;/\n]))")
 _NUMBER = re.compile(r"(?:\b(?:no|nr|num)\b\.?\s*|n\s?[º°]\.?\s*|#\s*)?\b(\d{1,4}[a-z]?)\b")
 
 
 @lru_cache(200_000)
 def parse(text: str) -> tuple[str, str, str, str, str, str] | None:
-    """House number, street type, street name, town, postal area, postcode ('' where missing), in canonical order; None without number or type."""
+    """House number, street type, street name, town, postal area, postcode ('' where missing), in canonical order; None without number or type.
+
+    Names are sequences of words. The town is never written between the number and the street, so what stands there is the street's name; where street and
+    town may stand side by side and no other part names a town, the word next to the type is the street and the rest the town.
+    """
     s = text.lower().replace("ß", "ss").replace("°", "º")
     s = re.sub(r"(\d)\s*ª", r"\1º", s)
     s = re.sub(CARE_OF, " , ", s)
@@ -61,40 +68,57 @@ def parse(text: str) -> tuple[str, str, str, str, str, str] | None:
     s = re.sub(r"\bn\s?º\.?", " # ", s)
     area = code = ""
     if m := _UK.search(s):
-        area, code, s = m[1] + m[2], m[1] + m[2] + m[3], s[: m.start()] + " , " + s[m.end() :]
+        area, code, s = m[1], m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
     elif m := _DIGITS.search(s):
         area, code, s = m[1] + m[2][:1], m[1] + m[2], s[: m.start()] + " , " + s[m.end() :]
-    s = re.sub(r"\b(\w{4,}?)\s*de\s*l+a\s*(s\w{3,7})\b", lambda m: " , " + m[1] + "_de_la_sierra , " if distance(fold(m[2]), "siera", 2) <= 2 else m[0], s)
-    s = re.sub(r"\b(\w+)[\s-]+(s\w{1,3})[\s-]+(m\w{1,4})\b", lambda m: " , " + m[1] + "_sur_mer , " if distance(fold(m[2]), "sur", 1) <= 1 and distance(fold(m[3]), "mer", 1) <= 1 else m[0], s)
-    s = re.sub(r"\b(\w+)\s+bay\b", r" , \1_bay , ", s)
     s = plain(s.replace("º", " º "))
-    for names in COUNTRIES.values():
-        s = re.sub(rf"(?:^|(?<=[,;/\n\s]))(?:{plain(names)})(?=$|[,;/\n\s])", " , ", s)
+    s = _COUNTRY.sub(" , ", s)
     m = next((m for m in _NUMBER.finditer(s)), None)
     if not m:
         return None
     number = m[1]
     s = s[: m.start()] + " 0 " + s[m.end() :]
-    parts = [re.findall(r"[^\W\d]+(?:[-'][^\W\d]+)*\.?|0", p) for p in re.split(r"[,;/\n]", s)]
+    parts = [re.findall(r"[^\W\d]+(?:'[^\W\d]+)*\.?|0", p) for p in re.split(r"[,;/\n]", s)]
     hits = [hit for n, p in enumerate(parts) for i in range(len(p)) for hit in _types(p, n, i)]
     for _, n, i, style, kind, cut in sorted(hits):
         p = parts[n]
+        begin = max((j + 1 for j in range(i) if p[j] == "0"), default=0)
+        end = next((j for j in range(i + 1, len(p)) if p[j] == "0"), len(p))
+        back, ahead = range(begin, i), range(i + 1, end)
         if style == "joined":
-            name, gone = p[i].rstrip(".")[:-cut], {i}
+            side, near = [*back, i], i
         else:
-            back = i - 1 if i and p[i - 1] != "0" else None
-            ahead = i + 1 if i + 1 < len(p) and p[i + 1] != "0" else None
-            number_next = ahead is not None and ahead + 1 < len(p) and p[ahead + 1] == "0"
-            apart = back is not None and ahead is not None and "0" not in p and n + 1 < len(parts) and parts[n + 1][:1] == ["0"]
-            at = {"before": ahead, "after": back}.get(style, ahead if back is None or number_next or apart else back)
-            if at is None:
+            number_next = len(ahead) == 1 and end < len(p)
+            apart = bool(back) and bool(ahead) and "0" not in p and n + 1 < len(parts) and parts[n + 1][:1] == ["0"]
+            first = style == "before" or style == "either" and (not back or number_next or apart)
+            side = list(ahead if first else back)
+            near = next((j for j in side if p[j].rstrip(".") not in SMALL), None) if first else i - 1
+            if not side or near is None:
                 continue
-            name, gone = p[at].rstrip("."), {i, at}
-        if len(name) < 2:
+        word = (lambda j: p[j].rstrip(".")[:-cut] if style == "joined" and j == i else p[j].rstrip("."))
+        if len(word(near)) < 2:
             continue
-        rest = [t.rstrip(".") for k, q in enumerate(parts) for j, t in enumerate(q) if t != "0" and (k != n or j not in gone)]
-        rest = [t for t in rest if len(t) > 3 and t not in NOT_TOWNS]
-        return number, SAME.get(kind, kind), name, max(rest, key=len, default=""), area, code
+        # groups of words that may name the town: what is left of each part, cut at the number and the street
+        groups: list[list[str]] = []
+        for k, q in enumerate(parts):
+            run: list[str] = []
+            for j, t in enumerate([*q, "0"]):
+                if t == "0" or k == n and (j == i or j in side):
+                    groups.append(run)
+                    run = []
+                else:
+                    run.append(t.rstrip("."))
+        groups = [g for g in groups if any(len(t) > 3 and t not in NOT_TOWNS for t in g)]
+        bounded = (begin > 0 and side[0] == begin and near == i - 1 if style != "joined" else begin > 0) or (side[0] == i + 1 and end < len(p) and style != "joined")
+        if groups or bounded:
+            street, town = [word(j) for j in side], max(groups, key=lambda g: max(len(t) for t in g if t not in NOT_TOWNS), default=[])
+        else:
+            street, town = [word(near)], [word(j) for j in side if j != near and (j > near or near >= i - 1)]
+        street = [t for t in (re.sub(r"^[dl]'", "", t) for t in street) if t not in SMALL] or street
+        town = [t for t in town if t not in NOT_TOWNS]
+        if not any(len(t) > 3 for t in town):
+            town = []
+        return number, SAME.get(kind, kind), " ".join(street), " ".join(town), area, code
     return None
 
 
@@ -103,7 +127,7 @@ def _types(p: list[str], n: int, i: int) -> Iterator[tuple[int, int, int, str, s
     t = p[i].rstrip(".")
     for style in ("before", "after", "either", "joined"):
         if (kind := _TYPE[style].get(t)) and len(p) > 1 and not (style == "joined" and t in _TYPE["either"]):
-            rank = 0 if len(t) >= 4 or t == "rue" else 3 if t == "la" and not p[i].endswith(".") else 2
+            rank = 0 if len(t) >= 4 or t == "rue" else 3 if t in SMALL and not p[i].endswith(".") else 2
             yield rank, n, i, "after" if style == "joined" else style, kind, 0
     for ending, kind in _SUFFIX:
         if t.endswith(ending) and len(t) > len(ending) + 3:
@@ -127,101 +151,125 @@ def parsed(entities: DataFrame) -> DataFrame:
     return entities.where("entity_id is not null and trim(address) <> ''").select("entity_id", "address").mapInArrow(run, schema)
 
 
+def _close(a: str, b: str, most: int) -> bool:
+    return distance(a, b, most) <= most or distance(fold(a), fold(b), most) <= most
+
+
+def _edits(a: str, b: str) -> int:
+    n = max(len(a), len(b))
+    return 0 if n <= 2 else 1 if n <= 6 else 2
+
+
+def main_words(name: str) -> list[str]:
+    ws = name.split()
+    return [w for w in ws if w not in SMALL] or ws
+
+
 @lru_cache(300_000)
-def alike(a: str, b: str) -> bool:
-    """Whether two names of streets or towns differ by typos at most."""
-    if a[:1] == "@" or b[:1] == "@":  # postcodes in place of towns
-        return a == b
-    most = 1 if max(len(a), len(b)) <= 6 else 2
-    if distance(a, b, most) <= most or distance(fold(a), fold(b), most) <= most:
+def alike_street(a: str, b: str) -> bool:
+    """Whether two street names differ by typos and spaces at most: word by word, short words exactly."""
+    if a == b:
         return True
-    if "_" in a or "_" in b:
-        whole = re.sub(r"[\W_]", "", a), re.sub(r"[\W_]", "", b)
-        return distance(*whole, 2) <= 2 or ("_" in a) != ("_" in b) and alike(a.split("_")[0], b.split("_")[0])
-    return False
+    x, y = main_words(a), main_words(b)
+    if len(x) == len(y):
+        return all(_close(u, v, 0 if max(len(u), len(v)) <= 3 and len(x) > 1 else _edits(u, v)) for u, v in zip(x, y))
+    return _close("".join(x), "".join(y), 1)
+
+
+@lru_cache(300_000)
+def alike_town(a: str, b: str, times: int = 1) -> bool:
+    """Whether two town names differ by typos, spaces, small words or a second part left out; ``times`` as many typos are allowed."""
+    if a == b:
+        return True
+    x, y = main_words(a), main_words(b)
+    same = [_close(u, v, times * _edits(u, v)) for u, v in zip(x, y)]
+    if all(same):
+        return True
+    if len(x) == len(y) and same[0]:  # of one first name, but another second
+        return False
+    return len(x) + len(y) > 2 and any(_close(u, v, 2 * times) for u, v in (("".join(x), "".join(y)), ("".join(a.split()), "".join(b.split()))))
 
 
 @F.pandas_udf(T.BooleanType())
 def near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and alike(x, y) for x, y in zip(a, b)], dtype="boolean")
+    return pd.Series([x is not None and y is not None and alike_town(x, y) for x, y in zip(a, b)], dtype="boolean")
 
 
-def usual_towns(rows: DataFrame, key: str) -> DataFrame:
-    """The town most often written with each value of ``key``, and the share of places in it, however it is written: key, town_key, share_key.
+def settle_towns(rows: DataFrame) -> DataFrame:
+    """Where a town is a misspelling of the one that most places of its postal area are in, that one; other columns unchanged.
 
-    Distinct places count, so an address that many rows hold counts once; the number of rows decides between towns with as many places.
+    Distinct places count, so an address that many rows hold counts once. The counts cover all addresses; the table is joined as a dimension of checked size.
     """
-    places = rows.where(F.col(key).isNotNull() & F.col("town").isNotNull()).groupBy(key, "town", "number", "kind", "street").agg(F.count(F.lit(1)).alias("rows"))
-    counts = materialize(places.groupBy(key, "town").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows")), "address-towns")
-    best = counts.groupBy(key).agg(F.max(F.struct("n", "rows", "town")).alias("top"), F.sum("n").alias("all"))
-    own = counts.join(best, key).groupBy(key).agg(F.first("top.town").alias(f"town_{key}"), (F.sum(F.when(near("town", "top.town"), F.col("n")).otherwise(0)) / F.first("all")).alias(f"share_{key}"))
-    return materialize(own, "address-towns")
+    places = rows.where("area is not null and town is not null").groupBy("area", "town", "number", "kind", "street").agg(F.count(F.lit(1)).alias("rows"))
+    counts = places.groupBy("area", "town").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    usual = materialize(counts.groupBy("area").agg(F.max(F.struct("n", "rows", "town")).alias("top")).select("area", F.col("top.town").alias("usual")), "address-towns")
+    return attach(rows, usual, ["area"]).withColumn("town", F.when(near("town", "usual"), F.col("usual")).otherwise(F.col("town"))).drop("usual")
 
 
-def settle_towns(rows: DataFrame) -> DataFrame:
-    """Towns by postcode and postal area.
+def _neighbours(df: DataFrame, name: str, texts: str) -> DataFrame:
+    """Add the column ``keys``: the members of the deletion neighbourhoods of an array of texts, as numbers."""
 
-    A misspelled town becomes the usual one of its door (postcode, number and street type), else of its postal area. An address without a town
-    takes that of its door or its spot (postal area, number, street), if these tell one; else its postcode stands for the town, and ``usual`` is the town
-    that nearly all distinct places of its area are in. The counts cover all addresses; the tables are joined as dimensions of checked size.
-    """
-    rows = rows.withColumn("door", F.concat_ws("|", F.col("code"), "number", "kind")).withColumn("door", F.when(F.col("code").isNotNull(), F.col("door")))
-    rows = rows.withColumn("spot", F.when(F.col("area").isNotNull(), F.concat_ws("|", "area", "number", "kind", "street")))
-    joined = rows
-    for key in ("door", "spot", "area"):
-        joined = attach(joined, usual_towns(rows, key), [key])
-    at_code = F.concat(F.lit("@"), "code")
-    missing = (
-        F.when(F.col("share_door") == 1, F.col("town_door")).when(F.col("share_spot") == 1, F.col("town_spot")).when(F.col("town_spot").isNotNull(), at_code)
-        .otherwise(F.coalesce("town_door", at_code))
-    )
-    town = F.when(F.col("town").isNull(), missing).when(near("town", "town_door"), F.col("town_door")).when(near("town", "town_area"), F.col("town_area")).otherwise(F.col("town"))
-    usual = F.when(town.startswith("@") & (F.col("share_area") >= ONE_TOWN), F.col("town_area"))
-    return joined.withColumn("usual", usual).withColumn("town", town).select(*rows.columns, "usual").drop("door", "spot")
-
-
-def place_links(places: DataFrame, areas: DataFrame) -> DataFrame:
-    """Pairs of distinct places that are one: same number and street type, alike street and town. a < b.
-
-    The key is number, type and a member of the street's deletion neighbourhood. A place whose town is only known to be one of its area's
-    (``areas``: each area with all towns written in it) joins the place it finds in one of them, but none if it finds places in several. A place without number (unparsed), or without both town
-    and postcode, matches only its own copies.
-    """
+    @F.pandas_udf("array<bigint>")
+    def members(column: pd.Series) -> pd.Series:
+        return pd.Series([list(dict.fromkeys(key(m) for x in xs for m in neighbourhood(fold(x)))) for xs in column], dtype=object)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                n, k, s = (batch.column(i).to_pylist() for i in (1, 2, 3))
-                keys = [[key(f"{x}|{y}|{m}") for m in neighbourhood(fold(z))] for x, y, z in zip(n, k, s)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["pid", "keys"])
-
-    full = places.where("number is not null and town is not null")
-    index = full.select("pid", "number", "kind", "street").mapInArrow(run, "pid bigint, keys array<bigint>").select("pid", F.explode("keys").alias("k"))
-    pairs = index.withColumnRenamed("pid", "a").join(index.withColumnRenamed("pid", "b"), "k").where("a < b").select("a", "b").distinct()
-    side = lambda x: full.select(F.col("pid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("number", "kind", "street", "town", "area", "usual")))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").where("number_a = number_b and kind_a = kind_b")
+    return df.withColumn(name, members(texts))
+
+
+def alike_towns(towns: DataFrame) -> DataFrame:
+    """Each distinct town with all towns written like it, itself too: town, others. Variants of a name are few, so the arrays are short."""
+
+    @F.pandas_udf("array<string>")
+    def spelled(column: pd.Series) -> pd.Series:
+        return pd.Series([list({main_words(x)[0], "".join(main_words(x)), "".join(x.split())}) for x in column], dtype=object)
+
+    index = _neighbours(towns.withColumn("texts", spelled("town")), "keys", "texts").select("town", F.explode("keys").alias("k"))
+    met = index.join(index.withColumnRenamed("town", "other"), "k").select("town", "other").distinct()
+    return met.where((F.col("town") == F.col("other")) | near("town", "other")).groupBy("town").agg(F.collect_set("other").alias("others"))
+
+
+def place_links(places: DataFrame) -> DataFrame:
+    """Pairs of distinct places (pid, number, kind, street, town, area, code) that are one: a < b.
+
+    Keys are hierarchical. Where both sides have a postcode, it is the first level, and it must be the same: a house has one. Where a side has none, the first level
+    is the town, met by all spellings alike. Number, type and a member of the street's deletion neighbourhood follow, so places meet only within one postcode or town.
+    Missing components: a place without town but with a postcode may be in any town written in its postal area, and joins the place without postcode that it finds
+    in one of them, but none if it finds places in several towns. A place without number (unparsed), or without both town and postcode, matches only its own copies.
+    """
+    full = _neighbours(places.where("number is not null and (town is not null or code is not null)").withColumn("texts", F.array(F.regexp_replace("street", " ", ""))), "keys", "texts").drop("texts")
+    full = materialize(full, "address-index")
+    at = lambda df, level: df.select("pid", F.explode("keys").alias("m"), "number", "kind", level).select("pid", F.xxhash64(level, "number", "kind", "m").alias("k"))
+    by_code = at(full.where("code is not null"), F.col("code"))
+    pairs = by_code.withColumnRenamed("pid", "a").join(by_code.withColumnRenamed("pid", "b"), "k").where("a < b").select("a", "b")
+    towns = materialize(alike_towns(full.where("town is not null").select("town").distinct()), "address-alike")
+    in_area = full.where("town is not null and area is not null").groupBy("area").agg(F.collect_set("town").alias("written"))  # the towns of a postal area
+    open_ = attach(full.where("town is null"), materialize(in_area, "address-areas"), ["area"], "inner").withColumn("town", F.explode("written"))
+    bare = attach(full.where("town is not null and code is null"), towns, ["town"], "inner").withColumn("town", F.explode("others"))
+    met = at(bare, F.col("town")).withColumnRenamed("pid", "a").join(at(full.where("town is not null").select("pid", "keys", "number", "kind", "town").unionByName(open_.select("pid", "keys", "number", "kind", "town")), F.col("town")).withColumnRenamed("pid", "b"), "k")
+    pairs = pairs.union(met.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    side = lambda x: full.select(F.col("pid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("number", "kind", "street", "town", "code")))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("number_a = number_b and kind_a = kind_b and (code_a is null or code_b is null or code_a = code_b)")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, unsure, area, town = [], [], [], []
-            for i, j, sa, sb, ta, tb, ra, rb, ua, ub in zip(*(c.to_pylist() for c in batch.columns)):
-                sure = alike(ta, tb) or bool(ua and ub and ra == rb)
-                open_a, open_b = ta[:1] == "@", tb[:1] == "@"
-                found = (None, None, None) if sure or open_a == open_b else (i, ra, tb) if open_a else (j, rb, ta)
-                keep.append(alike(sa, sb) and (sure or found[0] is not None))
-                unsure.append(found[0])
-                area.append(found[1])
-                town.append(found[2])
-            columns = [batch.column(0), batch.column(1), pa.array(unsure, pa.int64()), pa.array(area, pa.string()), pa.array(town, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "unsure", "area", "town"]).filter(pa.array(keep, pa.bool_()))
-
-    out = met.select("a", "b", "street_a", "street_b", "town_a", "town_b", "area_a", "area_b", "usual_a", "usual_b").mapInArrow(verify, "a bigint, b bigint, unsure bigint, area string, town string")
+            keep, unsure, town = [], [], []
+            for i, j, sa, sb, ta, tb, ca, cb in zip(*(c.to_pylist() for c in batch.columns)):
+                ok = alike_street(sa, sb)
+                if ca and cb:  # both towns of one postcode may be misspelled
+                    ok, ask = ok and (not ta or not tb or alike_town(ta, tb, 2)), None
+                elif ta and tb:
+                    ok, ask = ok and alike_town(ta, tb), None
+                else:
+                    ask = (j, ta) if ta else (i, tb)
+                keep.append(ok)
+                unsure.append(ask[0] if ask else None)
+                town.append(ask[1] if ask else None)
+            columns = [batch.column(0), batch.column(1), pa.array(unsure, pa.binary()), pa.array(town, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "unsure", "town"]).filter(pa.array(keep, pa.bool_()))
+
+    out = met.select("a", "b", "street_a", "street_b", "town_a", "town_b", "code_a", "code_b").mapInArrow(verify, "a binary, b binary, unsure binary, town string")
     out = materialize(out, "address-met")
     asked = out.where("unsure is not null")
-    written = areas.withColumnRenamed("town", "written")
-    there = asked.select("area", "town").distinct().join(written, "area").where(near("town", "written")).select("area", "town").distinct()
-    asked = materialize(asked.join(there, ["area", "town"], "left_semi"), "address-asked")
     one = asked.groupBy("unsure").agg(F.min("town").alias("x"), F.max("town").alias("y"))
     settled = asked.join(one.where(near("x", "y")).select("unsure"), "unsure", "left_semi").select("a", "b")
     return out.where("unsure is null").select("a", "b").unionByName(settled)
@@ -233,18 +281,13 @@ def place_classes(entities: DataFrame) -> DataFrame:
     Copies are compacted before places are compared, so an address that a third of all rows hold is compared once.
     Rows with a null id or an empty address have no place.
     """
-    rows = settle_towns(materialize(parsed(entities), "address-parts"))
-    # the area is part of a place only where a postcode stands for its town
-    area = F.when(F.col("town").startswith("@"), F.col("area")).alias("area")
-    rows = materialize(rows.select("entity_id", "number", "kind", "street", "town", "usual", area, F.col("area").alias("postal"), F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("number", "kind", "street", "town"))).alias("pid")), "address-places")
-    places = rows.select("pid", "number", "kind", "street", "town", "area", "usual").distinct()
-    areas = rows.where("postal is not null and town is not null and area is null").select(F.col("postal").alias("area"), "town").distinct()
-    groups = connected_components(materialize(place_links(places, areas), "address-links"))
-    return rows.select("entity_id", "pid").join(groups.withColumnRenamed("node", "pid"), "pid", "left").select("entity_id", F.coalesce("component", "pid").alias("place")).distinct()
+    parts = ("number", "kind", "street", "town", "code")
+    number = F.unhex(F.md5(F.to_json(F.struct(*parts)))).alias("pid")  # 128 bits
+    rows = materialize(settle_towns(materialize(parsed(entities), "address-parts")).select("entity_id", *parts, "area", number), "address-places")
+    groups = connected_components(materialize(place_links(rows.select("pid", *parts, "area").distinct()), "address-links"))
+    return rows.select("entity_id", "pid").join(groups.withColumnRenamed("node", "pid"), "pid", "left").select("entity_id", F.hex(F.coalesce("component", "pid")).alias("place")).distinct()
 
 
 def same_place(entities: DataFrame) -> DataFrame:
     """All pairs of rows at one place: entity_id_a < entity_id_b."""
-    member = materialize(place_classes(entities), "address-classes")
-    other = member.select("place", F.col("entity_id").alias("entity_id_b"))
-    return member.withColumnRenamed("entity_id", "entity_id_a").join(other, "place").where("entity_id_a < entity_id_b").select("entity_id_a", "entity_id_b").distinct()
+    return pairs_within(materialize(place_classes(entities), "address-classes"), "place", "entity_id")

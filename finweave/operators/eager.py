@@ -25,14 +25,14 @@ def multiplicities(df: DataFrame, key: str, group: list[str]) -> DataFrame:
     return df.groupBy(key, *group).agg(F.count(F.lit(1)).alias("m"))
 
 
-def join_rollup(left: DataFrame, right: DataFrame, key: str, group: list[str], extra: list[str]) -> DataFrame:
+def join_rollup(left: DataFrame, right: DataFrame, key: str, group: list[str], extra: list[str], keep: bool = False) -> DataFrame:
     """Aggregate the join of two inputs from their states alone.
 
     Each of ``left``'s rows would meet ``m`` rows of ``right``, so counts and totals are multiplied by m and
     the latest time stays; then the states are rolled up to ``group`` and ``extra``. Keys without a
-    partner and null keys drop out, as in the inner join this replaces.
+    partner and null keys drop out, as in the inner join this replaces; with ``keep`` they stay and count once, as in an outer join.
     """
-    joined = left.join(right, key)
+    joined = left.join(right, key, "left").withColumn("m", F.coalesce("m", F.lit(1))) if keep else left.join(right, key)
     return joined.groupBy(*group, *extra).agg(
         F.sum(F.col("n") * F.col("m")).alias("n"),
         F.sum((F.col("total") * F.col("m")).cast("decimal(38,4)")).cast("decimal(38,4)").alias("total"),

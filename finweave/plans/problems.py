@@ -26,7 +26,10 @@ def _account_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return eager.heavy_accounts(materialize(_account_states(spark, d), "p1-states"), HEAVY_SHARE)
+    """Transactions by side joined with the accounts they name, known or not, as states and multiplicities; the heavy ones of the roll-up."""
+    known = eager.multiplicities(load(spark, d, "accounts").select("account_id").distinct(), "account_id", [])
+    activity = eager.join_rollup(_account_states(spark, d), known, "account_id", [], ["account_id", "side"], keep=True)
+    return eager.heavy_accounts(materialize(activity, "p1-states"), HEAVY_SHARE)
 
 
 def p1_account_activity(spark: SparkSession, d: str) -> DataFrame:

@@ -59,25 +59,29 @@ UNITS = [("USD", "USD", 0, 1.0), ("USD.minor", "USD", -2, 0.01), ("USD.k", "USD"
 FEEDS = [("bank", "USD", "major", T0), ("cards", "EUR", "minor", T0), ("legacy", "USD", "minor", T0), ("legacy", "USD", "major", T0 + timedelta(days=10)), ("tokyo", "JPY", "minor", T0)]
 
 
-@pytest.mark.parametrize(
-    "amount, currency, feed, text, day, unit, whole",
-    [
-        ("5", "USD", "bank", None, 1, "USD", "5"), ("5", None, "cards", None, 1, "EUR.minor", "0.05"), ("5", "Usd", "cards", None, 1, "USD.minor", "0.05"), ("5", " USD ", "bank", None, 1, "USD", "5"),
-        ("5", "US cents", "bank", None, 1, "USD.minor", "0.05"), ("5", "kUSD", "cards", None, 1, "USD.k", "5000"), ("5", "USD mn", "bank", "figure in full USD units", 1, "USD", "5"), ("5", "USD", "legacy", None, 1, "USD.minor", "0.05"),
-        ("5", "USD", "legacy", None, 11, "USD", "5"), ("5", "Yen", "tokyo", None, 1, "JPY", "5"), ("5", None, "bank", "donation; montant en milliers de JPY - ref 12", 1, "JPY.k", "5000"),
-        ("5", None, "bank", "coupon: 10 cents off, ref 13405", 1, "USD", "5"), ("5", "EUR", "bank", "figure is Eurocent, not whole EUR", 1, "EUR.minor", "0.05"), (None, "EUR", "bank", "sum of USD 0.129k per contract", 1, "USD.k", "129"),
-        (None, None, "bank", "transfer JPY 3,015.76 urgent", 1, "JPY", "3015.76"), (None, "EUR", "cards", "invoice 77", 1, None, None), ("5", "bitcoin", "bank", None, 1, None, None), ("5", None, None, None, 1, None, None),
-        ("5", "EUR", None, None, 1, "EUR", "5"), ("5", "US Dolar", "bank", None, 1, "USD", "5"), ("5", "", "bank", "", 1, "USD", "5"), ("5", "x" * 3000, "bank", "y" * 3000, 1, None, None),
-    ],
-)
-def test_units(spark, amount, currency, feed, text, day, unit, whole):
-    row = ("t", amount and Decimal(amount), currency, feed, text, T0 + timedelta(days=day), "clash")
-    tx = spark.createDataFrame([row], "transaction_id string, amount decimal(20,4), currency string, source_system string, remittance_text string, created_at timestamp, feed string")
+UNIT_CASES = [  # amount, currency, feed, text, day, unit, whole
+    ("5", "USD", "bank", None, 1, "USD", "5"), ("5", None, "cards", None, 1, "EUR.minor", "0.05"), ("5", "Usd", "cards", None, 1, "USD.minor", "0.05"), ("5", " USD ", "bank", None, 1, "USD", "5"),
+    ("5", "US cents", "bank", None, 1, "USD.minor", "0.05"), ("5", "kUSD", "cards", None, 1, "USD.k", "5000"), ("5", "USD mn", "bank", "figure in full USD units", 1, "USD", "5"), ("5", "USD", "legacy", None, 1, "USD.minor", "0.05"),
+    ("5", "USD", "legacy", None, 11, "USD", "5"), ("5", "Yen", "tokyo", None, 1, "JPY", "5"), ("5", None, "bank", "donation; montant en milliers de JPY - ref 12", 1, "JPY.k", "5000"),
+    ("5", None, "bank", "coupon: 10 cents off, ref 13405", 1, "USD", "5"), ("5", "EUR", "bank", "figure is Eurocent, not whole EUR", 1, "EUR.minor", "0.05"), (None, "EUR", "bank", "sum of USD 0.129k per contract", 1, "USD.k", "129"),
+    (None, None, "bank", "transfer JPY 3,015.76 urgent", 1, "JPY", "3015.76"), (None, "EUR", "cards", "invoice 77", 1, None, None), ("5", "bitcoin", "bank", None, 1, None, None), ("5", None, None, None, 1, None, None),
+    ("5", "SAR thousands", "bank", None, 1, None, None), ("5", "thousand IDR", "bank", None, 1, None, None), ("5", "RUR (thousands)", "bank", None, 1, None, None), ("5", "Norwegian krone", "bank", None, 1, None, None), ("5", "UDS", "bank", None, 1, None, None),
+    ("5", "Euroo", "bank", None, 1, "EUR", "5"), ("5", "U.S.D.", "bank", None, 1, "USD", "5"), ("5", "EUR", "bank", "all values are recorded in USD thousands", 1, "USD.k", "5000"), ("5", "JPY", "bank", "the amount is stated in kUSD (gross)", 1, "USD.k", "5000"),
+    ("5", None, "bank", "Wert angegeben in Tsd. USD - ref 5", 1, "USD.k", "5000"), ("5", "USD", "bank", "ref 78342 quoted in EUR, settled as booked", 1, "USD", "5"), ("5", "USD", "bank", "order of 3 thousand bolts; invoice in EUR", 1, "USD", "5"),
+    (None, None, "bank", "we owe you 12.5 thousand JPY today", 1, "JPY.k", "12500"), (None, None, "bank", "order of 3 thousand bolts, PO 5", 1, None, None), (None, None, "bank", "pago de USD 1,250.5", 1, "USD", "1250.5"), (None, "EUR", "bank", "transfer EUR77 urgent", 1, "EUR", "77"),
+    ("5", "EUR", None, None, 1, "EUR", "5"), ("5", "US Dolar", "bank", None, 1, "USD", "5"), ("5", "", "bank", "", 1, "USD", "5"), ("5", "x" * 3000, "bank", "y" * 3000, 1, None, None),
+]
+
+
+def test_units(spark):
+    rows = [(str(k), amount and Decimal(amount), currency, feed, text, T0 + timedelta(days=day), "clash") for k, (amount, currency, feed, text, day, _, _) in enumerate(UNIT_CASES)]
+    tx = spark.createDataFrame(rows, "transaction_id string, amount decimal(20,4), currency string, source_system string, remittance_text string, created_at timestamp, feed string")
     u = spark.createDataFrame(UNITS, "unit_code string, iso_currency string, power_of_ten int, usd_per_unit double")
     s = spark.createDataFrame(FEEDS, "source_system string, default_currency string, amount_scale string, valid_from timestamp")
-    (out,) = units.with_units(tx, tx, u, s).collect()
-    assert (out["unit_code"], out["amount_whole"]) == (unit, whole and Decimal(whole))
-    assert units.with_units(tx.limit(0), tx.limit(0), u, s).count() == 0 if currency == "USD" and day == 11 else True
+    out = {r["transaction_id"]: (r["unit_code"], r["amount_whole"]) for r in units.with_units(tx, tx, u, s).collect()}
+    wrong = [(c, out[str(k)]) for k, c in enumerate(UNIT_CASES) if out[str(k)] != (c[5], c[6] and Decimal(c[6]))]
+    assert not wrong, wrong
+    assert units.with_units(tx.limit(0), tx.limit(0), u, s).count() == 0
 
 
 def test_weighted_distance():
@@ -163,10 +167,11 @@ def test_tokenizer(texts, width):
         got = rawparse.tokenize_csv([t.encode() for t in texts])
     finally:
         rawparse.CHUNK = chunk
-    for t, (reason, at, fields) in zip(texts, got):
+    for t, (reason, at, fields, begins, _) in zip(texts, got):
         want = brute_tokens(t)
         assert (reason or fields) == (want if isinstance(want, str) else [f or None for f in want])
         assert fields is not None or 0 <= at <= len(t.encode())
+        assert begins is None or begins[0] == 0 and all(t.encode()[b - 1 : b] == b"," for b in begins[1:])
 
 
 def test_states_do_not_depend_on_chunks():
@@ -174,6 +179,50 @@ def test_states_do_not_depend_on_chunks():
     assert all((rawparse.states_before(classes, c) == rawparse.states_before(classes, 2000)).all() for c in (1, 7, 64))
 
 
+SCALARS = st.one_of(st.none(), st.booleans(), st.integers(-(10**18), 10**18), st.floats(allow_nan=False, allow_infinity=False), st.text('ab"\\\n\té☃😀/', max_size=12))
+
+
+def brute_json(text: str):
+    """The same verdict from the standard parser, with all keys kept."""
+    try:
+        value = json.loads(text, object_pairs_hook=lambda pairs: ("object", pairs), parse_float=rawparse._Number, parse_int=rawparse._Number, parse_constant=rawparse._refuse)
+    except (json.JSONDecodeError, RecursionError):
+        return "broken_quoting"
+    if not isinstance(value, tuple) or sorted(k for k, _ in value[1]) != sorted(rawparse.FIELDS):
+        return "column_count"
+    by = dict(value[1])
+    return [None if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, str) else "nested" for x in map(by.get, rawparse.FIELDS)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(SCALARS, min_size=13, max_size=13), st.integers(0, 9), st.integers(0, 400), st.sampled_from(list('{}[]",:\\ 0-.eEtunx\n')), st.booleans()), min_size=1, max_size=6), st.integers(3, 64))
+def test_json_tokenizer(records, width):
+    """Whole records, and such with a character put in, cut off, or with fields too few or too many."""
+    texts = []
+    for values, change, at, c, spaced in records:
+        by = dict(zip(rawparse.FIELDS, values))
+        if change == 1:
+            del by["amount"]
+        elif change == 2:
+            by["more"] = 1
+        elif change == 3:
+            by["flagged"] = [1, {"a": None}]
+        t = json.dumps(by, ensure_ascii=spaced, separators=(" , ", " : ") if spaced else (",", ":"))
+        texts.append(t[: at % len(t)] + c + t[at % len(t) :] if change in (4, 5, 6) else t[: at % len(t)] if change == 7 else t)
+    chunk, rawparse.CHUNK = rawparse.CHUNK, width
+    try:
+        got = rawparse.tokenize_json([t.encode() for t in texts])
+    finally:
+        rawparse.CHUNK = chunk
+    for t, (reason, at, fields, begins, kinds) in zip(texts, got):
+        want = brute_json(t)
+        assert reason == (want if isinstance(want, str) else None), t
+        if fields is None:
+            assert 0 <= at <= len(t.encode())
+        else:
+            assert [f for f, k in zip(fields, kinds) if k != "x"] == [w for w, k in zip(want, kinds) if k != "x"] and len(begins) == 13
+
+
 GOOD = ["T1", "A1", "B1", "12.5", "usd", "2025-06-12T00:15:46", "WIRE", "SG", "", "corporate, listed", "false", "76", "true"]
 
 
@@ -213,6 +262,12 @@ def test_raw_records(spark):
     assert len(out) == len(CASES)
     wrong = [(f, (r or "")[:80], want, out[k]["reason"], out[k]["bad_field"]) for k, (f, r, want) in enumerate(CASES) if out[k]["reason"] != want]
     assert not wrong, wrong
+    wrong = [(f, r) for k, (f, r, want) in enumerate(CASES) if want and out[k]["at"] is None]
+    assert not wrong, wrong
+    at = next(k for k, (f, r, w) in enumerate(CASES) if f == "csv" and r == changed(3, "1e5"))
+    assert CASES[at][1][out[at]["at"] :].startswith("1e5") and out[at]["bad_field"] == "amount"
+    at = next(k for k, (f, r, w) in enumerate(CASES) if f == "json" and r == as_json(currency=5))
+    assert CASES[at][1][out[at]["at"] :].startswith("5,") and out[at]["bad_field"] == "currency"
     good = rawparse.bronze(rawparse.classify(rawparse.tokenize(df, "record_id", "raw_record", "record_format")))
     first = good.where("record_id = 0").first()
     assert first["amount"] == Decimal("12.5") and first["transaction_timestamp"] == datetime(2025, 6, 12, 0, 15, 46) and first["is_pep"] is False and first["destination_country"] is None

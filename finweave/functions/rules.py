@@ -6,9 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from finweave.constants import ACCOUNT_PATTERN, ALIASES, CURRENCIES, HIGH_RISK_COUNTRIES, HIGH_VALUE, MAX_AMOUNT, STRUCTURING_HIGH, STRUCTURING_LOW
 from finweave.session import attach
@@ -151,6 +151,8 @@ class Rule:
     field: str
     description: str
     passes: Callable[[], Column]
+    #: What a failed record is told instead of the description, where it isn't null.
+    says: Callable[[], Column] | None = None
 
 
 def _number(name: str) -> Column:
@@ -183,21 +185,27 @@ def standard_rules(as_of: datetime) -> list[Rule]:
 
 
 def callable_rule(rule_id: str, severity: str, field: str, description: str, check: Callable[[dict], bool], columns: list[str]) -> Rule:
-    """A rule whose check is a Python function of a record; it runs row by row, so prefer an expression. An exception fails the record."""
+    """A rule whose check is a Python function of a record. It gets Arrow batches, but is called once a record, so prefer an expression. An exception fails the record; its
+    text is the message.
+    """
 
-    @F.udf(T.BooleanType())
-    def run(record):
-        try:
-            return bool(check(record.asDict()))
-        except Exception:
-            return False
+    @F.pandas_udf("passed boolean, message string")
+    def run(records: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for record in records.astype(object).where(records.notna(), None).to_dict("records"):
+            try:
+                out.append((bool(check(record)), None))
+            except Exception as e:
+                out.append((False, str(e)))
+        return pd.DataFrame(out, columns=["passed", "message"])
 
-    return Rule(rule_id, severity, field, description, lambda: run(F.struct(*columns)))
+    verdict = lambda: run(F.struct(*columns))
+    return Rule(rule_id, severity, field, description, lambda: verdict()["passed"], lambda: verdict()["message"])
 
 
 def add_rule(rules: list[Rule], rule: Rule) -> list[Rule]:
     """With one more rule; if its id is taken, both entries stay and both use the new check."""
-    return [*(replace(r, passes=rule.passes) if r.rule_id == rule.rule_id else r for r in rules), rule]
+    return [*(replace(r, passes=rule.passes, says=rule.says) if r.rule_id == rule.rule_id else r for r in rules), rule]
 
 
 def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -205,18 +213,19 @@ def validate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if not rules:
         empty = F.array().cast("array<struct<rule_id:string,severity:string,passed:boolean,message:string,field_path:string,value:string>>")
         return df.withColumns({"results": empty, "quality_score": F.lit(0.0), "errors": F.array().cast("array<string>")})
-    checked = df.withColumns({f"__passed_{k}": holds(r.passes()) for k, r in enumerate(rules)})
+    checked = df.withColumns({f"__passed_{k}": holds(r.passes()) for k, r in enumerate(rules)} | {f"__said_{k}": r.says() for k, r in enumerate(rules) if r.says})
+    failed = lambda k, r: F.concat(F.lit("Failed: "), F.coalesce(F.col(f"__said_{k}"), F.lit(r.description))) if r.says else F.lit(f"Failed: {r.description}")
     value = lambda r: F.col(r.field).cast("string") if r.field in df.columns else F.lit(None).cast("string")
     results = F.array(*(
         F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.col(f"__passed_{k}").alias("passed"),
-            F.when(F.col(f"__passed_{k}"), "OK").otherwise(f"Failed: {r.description}").alias("message"), F.lit(r.field).alias("field_path"), value(r).alias("value"),
+            F.when(F.col(f"__passed_{k}"), "OK").otherwise(failed(k, r)).alias("message"), F.lit(r.field).alias("field_path"), value(r).alias("value"),
         )
         for k, r in enumerate(rules)
     ))
     passed = sum((F.col(f"__passed_{k}").cast("int") for k in range(len(rules))), F.lit(0))
-    errors = F.array_compact(F.array(*(F.when(~F.col(f"__passed_{k}"), f"[{r.rule_id}] Failed: {r.description} (field={r.field})") for k, r in enumerate(rules) if r.severity == "ERROR")))
-    return checked.withColumns({"results": results, "quality_score": F.floor(passed * 10000 / len(rules) + 0.5) / 100, "errors": errors}).drop(*(f"__passed_{k}" for k in range(len(rules))))
+    errors = F.array_compact(F.array(*(F.when(~F.col(f"__passed_{k}"), F.concat(F.lit(f"[{r.rule_id}] "), failed(k, r), F.lit(f" (field={r.field})"))) for k, r in enumerate(rules) if r.severity == "ERROR")))
+    return checked.withColumns({"results": results, "quality_score": F.floor(passed * 10000 / len(rules) + 0.5) / 100, "errors": errors}).drop(*(f"__{x}_{k}" for x in ("passed", "said") for k in range(len(rules))))
 
 
 def ingestion_violations(df: DataFrame) -> DataFrame:

@@ -102,9 +102,11 @@ def score_entities(df: DataFrame, weights: dict[str, float] | None = None) -> Da
     return df.withColumns({"base_score": rounded(base_score(df)), "weighted_score": rounded(exact), "risk_level": level(exact), "contributing_factors": factors})
 
 
-def to_json(df: DataFrame) -> Column:
-    """A scored row as a JSON object with two digits, four for the factors."""
-    return F.to_json(F.struct("entity_id", F.round("base_score", 2).alias("base_score"), F.round("weighted_score", 2).alias("weighted_score"), "risk_level", F.transform_values("contributing_factors", lambda _, v: F.round(v, 4)).alias("contributing_factors")))
+def to_json(df: DataFrame, at: Column | None = None) -> Column:
+    """A scored row as a JSON object with two digits, four for the factors, half to even; ``at`` is the time of the scoring, by default now."""
+    time = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx").alias("timestamp")
+    factors = F.transform_values("contributing_factors", lambda _, v: F.bround(v, 4)).alias("contributing_factors")
+    return F.to_json(F.struct("entity_id", F.bround("base_score", 2).alias("base_score"), F.bround("weighted_score", 2).alias("weighted_score"), "risk_level", factors, time))
 
 
 def lake_score(amount: Column, velocity: Column, high_risk: Column, kind: Column, pep: Column, structuring: Column, high_value: Column) -> Column:

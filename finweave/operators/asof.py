@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_US = 86_400_000_000
+from finweave.operators.running import stretch
+from finweave.session import attach, materialize
+
 #: An entity's time line is cut into so many buckets that each holds about this many changes or events.
 CHANGES_PER_BUCKET, EVENTS_PER_BUCKET = 32, 4096
 
-from finweave.session import attach, materialize  # noqa: E402
-
 
 def validity_intervals(changes: DataFrame, entity: str, valid_from: str, known_at: str, tie: str, values: list[str]) -> DataFrame:
     """Half-open intervals [start, end) in microseconds with the version that holds in them.
 
     A change can be seen from max(valid_from, known_at) on. In order of that time the holding version is the running
-    maximum of (valid_from, known_at, tie). The scan has two levels, days inside an entity and entities over their days,
-    so one window partition holds a day of an entity or one row a day, never all changes of a hot entity.
+    maximum of (valid_from, known_at, tie). The scan has two levels, stretches inside an entity and entities over their stretches, days or less as the load demands,
+    so one window partition holds a stretch of an entity or one row a stretch, never all changes of a hot entity.
     Exact copies collapse; changes with a null entity or time are never visible; end is null while open.
     """
     version = F.struct(F.unix_micros(valid_from).alias("v"), F.unix_micros(known_at).alias("k"), *(F.col(c) for c in [tie, *values]))
@@ -25,8 +25,8 @@ def validity_intervals(changes: DataFrame, entity: str, valid_from: str, known_a
         changes.select(entity, valid_from, known_at, tie, *values)
         .where(F.col(entity).isNotNull() & F.col(valid_from).isNotNull() & F.col(known_at).isNotNull())
         .select(F.col(entity).alias("e"), F.greatest(F.unix_micros(valid_from), F.unix_micros(known_at)).alias("start"), version.alias("version"))
-        .withColumn("day", F.floor(F.col("start") / DAY_US))
     )
+    seen = seen.withColumn("day", F.floor(F.col("start") / stretch(seen, "e", F.col("start"))))
     in_day = Window.partitionBy("e", "day").orderBy("start", "version")
     scanned = (
         seen.withColumn("best", F.max("version").over(in_day.rowsBetween(Window.unboundedPreceding, 0)))

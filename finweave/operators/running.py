@@ -6,16 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
+#: Most rows of a key in one stretch of time, which one task sorts.
+STRETCH_ROWS = 1_000_000
+
+
+def stretch(df: DataFrame, key: str, micros) -> int:
+    """A length of time in microseconds, a day or a part of it, in which no key has more than STRETCH_ROWS rows, as far as its rows of a day are spread.
+
+    Counted once over all rows, combined before the shuffle.
+    """
+    most = df.groupBy(F.col(key).alias("k"), F.floor(micros / DAY_US).alias("d")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = 1
+    while most > STRETCH_ROWS * parts and parts < 86_400:
+        parts *= 2
+    return DAY_US // parts
 
 
 def running(df: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
     """Add ``running_total`` and ``running_count`` in order of (time, tie) within key.
 
-    Sums run inside a day of a key and over the days' totals, so a window partition is a day or one row a day, however hot
-    the key. A null value adds nothing; rows with a null key or time are left out.
+    Sums run inside a stretch of a key's time line, a day or less as its load demands, and over the stretches' totals, so a window partition is a stretch or one row a
+    stretch, however hot the key. A null value adds nothing; rows with a null key or time are left out.
     """
-    day = F.floor(F.unix_micros(time) / DAY_US)
-    rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn("__day", day)
+    kept = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    rows = kept.withColumn("__day", F.floor(F.unix_micros(time) / stretch(kept, key, F.unix_micros(time))))
     inside = Window.partitionBy(key, "__day").orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(key).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
     days = rows.groupBy(key, "__day").agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
@@ -33,11 +47,11 @@ def trailing_count(df: DataFrame, key: str, time: str, row_id: str, days: int =
     """(row_id, key, time, n): rows of the key in [time - days, time], each row itself included.
 
     A row is counted up to its own time and up to a probe set ``days`` earlier; the difference of the two is the count. Both are ranks
-    inside a day of the key plus the totals of the days before. Rows with a null key or time are left out.
+    inside a stretch of the key's time line plus the totals of those before. Rows with a null key or time are left out.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("k"), F.col(row_id).alias("id"), F.unix_micros(time).alias("t"))
     marks = rows.select("k", "id", "t", F.explode(F.array(F.struct(F.col("t").alias("at"), F.lit(1).alias("one")), F.struct((F.col("t") - days * DAY_US).alias("at"), F.lit(0).alias("one")))).alias("m")).select("k", "id", "t", "m.at", "m.one")
-    marks = marks.withColumn("day", F.floor(F.col("at") / DAY_US))
+    marks = marks.withColumn("day", F.floor(F.col("at") / stretch(rows, "k", F.col("t"))))
     upto = F.sum("one").over(Window.partitionBy("k", "day").orderBy("at", "one"))
     totals = marks.groupBy("k", "day").agg(F.sum("one").alias("s"))
     totals = totals.select("k", "day", F.coalesce(F.sum("s").over(Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"))

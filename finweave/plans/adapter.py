@@ -64,9 +64,9 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def records(spark: SparkSession, d: str) -> DataFrame:
-    """All transactions as they came, as records of the bronze schema, with the countries of their accounts and the customer of the source."""
-    t = load(spark, d, "transactions").select("transaction_id", "source_account_id", "destination_account_id", "amount", "currency", "transaction_timestamp", "transaction_type", "risk_score", "flagged")
+def records(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """All transactions as they came, or the given ``rows`` of them, as records of the bronze schema, with the countries of their accounts and the customer of the source."""
+    t = (load(spark, d, "transactions") if rows is None else rows).select("transaction_id", "source_account_id", "destination_account_id", "amount", "currency", "transaction_timestamp", "transaction_type", "risk_score", "flagged")
     t = with_account(t, spark, d, "source_account_id", "s", how="left")
     t = with_account(t, spark, d, "destination_account_id", "t", entity=False, how="left")
     return t.select(

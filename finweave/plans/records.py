@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from finweave.constants import ACCOUNT_PATTERN, CURRENCIES, HIGH_RISK_COUNTRIES
 from finweave.functions import rules, scoring
 from finweave.operators.running import trailing_count
+from finweave.operators.standing import standing_rows
 from finweave.plans.adapter import NOW, RECORDS_SQL, VALID_SQL, records, valid
 from finweave.sources.tables import load
 
@@ -108,14 +112,15 @@ def velocity_30d(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     v = velocity_30d(spark, d).select("transaction_id", "velocity_30d")
-    r = rules.record_flags(records(spark, d)).where(F.col("transaction_id").isNotNull()).groupBy("transaction_id").agg(
-        F.max("amount").cast("double").alias("transaction_amount"), F.max("flag_high_risk_country").alias("high_risk_country"), F.max("customer_type").alias("customer_type"), F.max("is_pep").alias("is_pep")
-    )
+    rows = standing_rows(load(spark, d, "transactions"), "transaction_id", "created_at", ["transaction_id", "source_account_id", "destination_account_id", "amount", "currency", "transaction_timestamp", "transaction_type", "risk_score", "flagged"])
+    r = rules.record_flags(records(spark, d, rows)).select(
+        "transaction_id", F.col("amount").cast("double").alias("transaction_amount"), F.col("flag_high_risk_country").alias("high_risk_country"), "customer_type", "is_pep"
+    )
     return r.join(v, "transaction_id", "left")
 
 
 def score_weighted(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted and base score of every transaction id, of its largest delivery."""
+    """Weighted and base score of every transaction, of the delivery that stands."""
     return scoring.score_entities(_features(spark, d)).select("transaction_id", "base_score", "weighted_score", "risk_level")
 
 
@@ -178,11 +183,33 @@ def pipeline_stats(spark: SparkSession, d: str) -> DataFrame:
     """Counters of the six stages from one aggregation."""
     ok = F.count_if("is_valid")
     return pipeline(_raw(spark, d).drop("risk_score"), AT).agg(
-        F.count(F.lit(1)).alias("ingested"), ok.alias("validated"), F.count_if(~F.col("is_valid")).alias("validation_failed"), ok.alias("transformed"), ok.alias("enriched"),
+        F.count(F.lit(1)).alias("total_records"), F.count(F.lit(1)).alias("ingested"), ok.alias("validated"), F.count_if(~F.col("is_valid")).alias("validation_failed"), ok.alias("transformed"), ok.alias("enriched"),
         F.count_if(F.col("risk_score").isNotNull()).alias("scored"), F.count_if(F.col("stage") == "OUTPUT").alias("output"),
     )
 
 
+def timed(stats: Callable[[], DataFrame]) -> dict:
+    """The counters of a run with errors (none: they stay with their records), start_time, end_time and duration_seconds with four digits."""
+    start, clock = datetime.now(timezone.utc), time.perf_counter()
+    row = stats().first().asDict()
+    return row | {"errors": [], "start_time": start.isoformat(), "end_time": datetime.now(timezone.utc).isoformat(), "duration_seconds": round(time.perf_counter() - clock, 4)}
+
+
+@dataclass
+class Totals:
+    """Counters of the ingestion layer over all its runs, and how long the last one took."""
+
+    counters: dict[str, int] = field(default_factory=dict)
+    last_run_duration_ms: int = 0
+
+    def add(self, stats: Callable[[], DataFrame]) -> dict[str, int]:
+        clock = time.perf_counter()
+        for k, n in stats().first().asDict().items():
+            self.counters[k] = self.counters.get(k, 0) + n
+        self.last_run_duration_ms = int((time.perf_counter() - clock) * 1000)
+        return self.counters | {"last_run_duration_ms": self.last_run_duration_ms}
+
+
 def ingest(df: DataFrame) -> DataFrame:
     """Ingestion layer in its order: normalise, tier, check."""
     return rules.ingestion_violations(rules.risk_tiers(rules.normalize_ingested(df)))
@@ -190,7 +217,7 @@ def ingest(df: DataFrame) -> DataFrame:
 
 def ingestion_stats(spark: SparkSession, d: str) -> DataFrame:
     bad = F.size("violations") > 0
-    return ingest(records(spark, d)).agg(F.count(F.lit(1)).alias("total_received"), F.count_if(~bad).alias("total_processed"), F.count_if(bad).alias("total_quarantined"), F.count_if(~bad & F.col("flagged")).alias("total_flagged"))
+    return ingest(records(spark, d)).agg(F.count(F.lit(1)).alias("total_received"), F.count(F.lit(1)).alias("total_normalised"), F.count(F.lit(1)).alias("total_enriched"), F.count_if(~bad).alias("total_processed"), F.count_if(bad).alias("total_quarantined"), F.count_if(~bad).alias("total_output"), F.count_if(~bad & F.col("flagged")).alias("total_flagged"))
 
 
 def enriched_records(spark: SparkSession, d: str) -> DataFrame:
@@ -251,8 +278,10 @@ def _weighted(amount: str, velocity: str, geo: str, pep: str) -> str:
 _LEVEL = "CASE WHEN {0} >= 80 THEN 'CRITICAL' WHEN {0} >= 60 THEN 'HIGH' WHEN {0} >= 30 THEN 'MEDIUM' ELSE 'LOW' END"
 _VELOCITY = """counted AS (SELECT transaction_id, source_account_id, transaction_timestamp, count(*) OVER (PARTITION BY source_account_id ORDER BY transaction_timestamp
 RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS velocity_30d FROM valid)"""
-_FEATURES = f"""{VALID_SQL}, {RECORDS_SQL}, {_VELOCITY}, flags AS (SELECT *, {_L1_FLAGS} FROM records), f AS (SELECT transaction_id, coalesce(CAST(max(amount) AS DOUBLE), 0) AS amount, max(flag_high_risk_country) AS geo,
-max(customer_type) AS customer_type, coalesce(max(is_pep), false) AS pep FROM flags WHERE transaction_id IS NOT NULL GROUP BY transaction_id),
+_STANDING = ", ".join(f"{c} DESC NULLS LAST" for c in ("created_at", "source_account_id", "destination_account_id", "amount", "currency", "transaction_timestamp", "transaction_type", "risk_score", "flagged"))
+_FEATURES = f"""{VALID_SQL}, latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY {_STANDING}) AS rn FROM transactions WHERE transaction_id IS NOT NULL) WHERE rn = 1),
+{RECORDS_SQL.replace('FROM transactions t', 'FROM latest t')}, {_VELOCITY}, flags AS (SELECT *, {_L1_FLAGS} FROM records), f AS (SELECT transaction_id, coalesce(CAST(amount AS DOUBLE), 0) AS amount, flag_high_risk_country AS geo,
+customer_type, coalesce(is_pep, false) AS pep FROM flags),
 g AS (SELECT f.*, coalesce(c.velocity_30d, 0) AS v FROM f LEFT JOIN counted c ON c.transaction_id = f.transaction_id)"""
 _BASE = f"""least(100.0::DOUBLE, (CASE WHEN amount >= 1000000 THEN 100 WHEN amount >= 100000 THEN 75 WHEN amount >= 50000 THEN 55 WHEN amount >= 10000 THEN 35 WHEN amount >= 5000 THEN 15 ELSE 5 END
 + CASE WHEN v >= 200 THEN 100 WHEN v >= 100 THEN 70 WHEN v >= 50 THEN 45 WHEN v >= 20 THEN 25 ELSE v * 0.5::DOUBLE END + CASE WHEN geo THEN 100 ELSE 0 END + {_KIND.format(80, 40, 10, 20)} + CASE WHEN pep THEN 100 ELSE 0 END) / 8.0::DOUBLE)"""
@@ -291,11 +320,11 @@ SELECT count(*) AS total_records, floor(avg(CAST(clean AS INTEGER)) * 10000 + 0.
     "pipeline_records": f"""WITH {_VERDICTS}, q AS (SELECT *, {_OK} AS ok, {_SCORE} AS quality_score, {_ERRORS} AS errors, {_L1_FLAGS} FROM (SELECT * REPLACE ({_TRIM.format('source_country')} AS source_country, {_TRIM.format('destination_country')} AS destination_country) FROM verdicts)), w AS (SELECT *, {_weighted('CAST(amount AS DOUBLE)', '0', 'flag_high_risk_country', 'coalesce(is_pep, false)')} AS w FROM q)
 SELECT transaction_id AS record_id, CASE WHEN ok THEN 'OUTPUT' ELSE 'VALIDATION' END AS stage, ok AS is_valid, quality_score, errors, CASE WHEN ok THEN floor(w * 10000 + 0.5) / 10000 END AS risk_score, CASE WHEN ok THEN {_LEVEL.format('w')} END AS risk_level,
 {', '.join(f'CASE WHEN ok THEN {f} END AS {f}' for f in FLAGS)} FROM w""",
-    "pipeline_stats": f"""WITH {_VERDICTS}, q AS (SELECT {_OK} AS ok FROM verdicts) SELECT count(*) AS ingested, count(*) FILTER (WHERE ok) AS validated, count(*) FILTER (WHERE NOT ok) AS validation_failed, count(*) FILTER (WHERE ok) AS transformed,
+    "pipeline_stats": f"""WITH {_VERDICTS}, q AS (SELECT {_OK} AS ok FROM verdicts) SELECT count(*) AS total_records, count(*) AS ingested, count(*) FILTER (WHERE ok) AS validated, count(*) FILTER (WHERE NOT ok) AS validation_failed, count(*) FILTER (WHERE ok) AS transformed,
 count(*) FILTER (WHERE ok) AS enriched, count(*) FILTER (WHERE ok) AS scored, count(*) FILTER (WHERE ok) AS output FROM q""",
 }
 SQL["enriched_records"] = """SELECT t.transaction_id, t.source_account_id, e.name AS context_name, coalesce(e.pep_flag, false) AS context_pep_flag, coalesce(CAST(e.risk_score AS DOUBLE), 0.0) AS context_risk_score,
 CASE WHEN e.entity_id IS NOT NULL THEN a.country_code END AS context_country, CASE WHEN e.entity_type = 'CORPORATE' THEN 'corporate' ELSE 'retail' END AS context_customer_type
 FROM transactions t LEFT JOIN accounts a ON a.account_id = t.source_account_id LEFT JOIN entities e ON e.entity_id = a.entity_id"""
 SQL["ingestion_stats"] = SQL["dq_violations_l2"].split("SELECT transaction_id, CAST(len(v)")[0].replace("amount, transaction_timestamp FROM records)", "amount, transaction_timestamp, CASE WHEN amount >= 10000 THEN true ELSE coalesce(flagged, false) END AS flagged FROM records)").replace("v AS (SELECT transaction_id, list_filter", "v AS (SELECT transaction_id, flagged, list_filter") + """
-SELECT count(*) AS total_received, count(*) FILTER (WHERE len(v) = 0) AS total_processed, count(*) FILTER (WHERE len(v) > 0) AS total_quarantined, count(*) FILTER (WHERE len(v) = 0 AND flagged) AS total_flagged FROM v"""
+SELECT count(*) AS total_received, count(*) AS total_normalised, count(*) AS total_enriched, count(*) FILTER (WHERE len(v) = 0) AS total_processed, count(*) FILTER (WHERE len(v) = 0) AS total_output, count(*) FILTER (WHERE len(v) > 0) AS total_quarantined, count(*) FILTER (WHERE len(v) = 0 AND flagged) AS total_flagged FROM v"""

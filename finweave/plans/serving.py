@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finweave.constants import LEVELS
 from finweave.functions.scoring import rounded
-from finweave.plans.adapter import ALERTS_SQL, CASES_SQL, VALID_SQL, alerts, cases, valid
+from finweave.plans.adapter import ALERTS_SQL, CASES_SQL, VALID_SQL, alerts, as_of, cases, valid
 from finweave.sources.tables import load
 
 
@@ -24,9 +24,15 @@ def filter_transactions(df: DataFrame, flagged: str | None = None, min_amount: f
     return df.where(F.col("amount") >= min_amount) if min_amount is not None else df
 
 
-def response(df: DataFrame, name: str) -> DataFrame:
-    """Each row as JSON beside the name of its list."""
-    return df.select(F.lit(name).alias("list"), F.to_json(F.struct("*")).alias("row"))
+def response(df: DataFrame, name: str, at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a request for a list returns: its head (list, total, generatedAt), one row, and each row as JSON. The rows stay distributed; the head is counted from them."""
+    time = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt")
+    return df.agg(F.lit(name).alias("list"), F.count(F.lit(1)).alias("total")).select("list", "total", time), df.select(F.lit(name).alias("list"), F.to_json(F.struct("*")).alias("row"))
+
+
+def alerts_response(spark: SparkSession, d: str) -> DataFrame:
+    """The head of the list of open alerts above 20, as of the end of the data."""
+    return response(alerts_filtered(spark, d), "alerts", as_of())[0]
 
 
 def alerts_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -86,9 +92,10 @@ def scaled_scores(spark: SparkSession, d: str) -> DataFrame:
     return e.join(F.broadcast(ends), "one").select("entity_id", F.when(F.col("high") > F.col("low"), rounded((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")), 6)).otherwise(0.0).alias("scaled"))
 
 
-QUERIES = {f.__name__: f for f in (alerts_filtered, transactions_filtered, top_alerts, alerts_by_type, alert_trend, level_counts, kpis, scaled_scores)}
+QUERIES = {f.__name__: f for f in (alerts_filtered, alerts_response, transactions_filtered, top_alerts, alerts_by_type, alert_trend, level_counts, kpis, scaled_scores)}
 
 SQL = {
+    "alerts_response": f"WITH {ALERTS_SQL} SELECT 'alerts' AS list, count(*) AS total, '2025-07-01T00:00:00.000Z' AS \"generatedAt\" FROM alerts WHERE status = 'OPEN' AND risk_score >= 20",
     "alerts_filtered": f"WITH {ALERTS_SQL} SELECT alert_id, entity_id, alert_type, risk_score, status, created_at FROM alerts WHERE status = 'OPEN' AND risk_score >= 20",
     "transactions_filtered": f"WITH {VALID_SQL} SELECT transaction_id, source_account_id, destination_account_id, amount, currency, transaction_timestamp FROM valid WHERE flagged AND amount >= 1000",
     "top_alerts": f"WITH {ALERTS_SQL} SELECT alert_id, entity_id, alert_type, risk_score, status FROM alerts WHERE risk_score > 70 ORDER BY alert_id LIMIT 5",

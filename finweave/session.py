@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after its rows were counted and found at most this many.
 BROADCAST_ROWS = 200_000
+#: Rows of a key up to which it isn't split when it is joined; parts that rows without a key are spread over.
+HOT_ROWS, NULL_SALTS = 2_000_000, 1024
 
 _TEMPORARY: list[str] = []
 
@@ -65,17 +67,22 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def attach(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", rows: int | None = None, salts: int = 16) -> DataFrame:
+def attach(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
     """Join a unique-keyed ``dim`` to ``df`` whose keys may be heavily skewed.
 
-    Up to BROADCAST_ROWS counted rows the dimension is broadcast; beyond, ``df`` is salted and
-    the dimension replicated once per salt, so a key with a third of all rows is spread over
-    ``salts`` tasks. ``dim`` should be a materialised table because it is counted here.
+    Up to BROADCAST_ROWS counted rows the dimension is broadcast. Beyond, keys with more than HOT_ROWS rows of ``df`` are counted and split into as many salts as
+    they need, with their rows of the dimension repeated once a salt; other keys are joined as they are. The salt is a hash of the row, so a
+    repeated task gives the same. Rows with a null key meet nothing and are spread likewise. ``dim`` should be a materialised table because it is counted here.
     """
     n = dim.count() if rows is None else rows
     if n <= BROADCAST_ROWS:
         return df.join(F.broadcast(dim), on, how)
-    salt = "__salt"
-    spread = dim.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = df.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return salted.join(spread, [*on, salt], how).drop(salt)
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    hot = df.where(known).groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("__salts")).where("__salts > 1")
+    hot = F.broadcast(materialize(hot, "hot-keys"))  # at most one key for each HOT_ROWS rows
+    row = F.xxhash64(*(F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind))
+    salted = df.join(hot, on, "left").withColumn("__salt", F.when(known, F.pmod(row, F.coalesce("__salts", F.lit(1)))).otherwise(F.pmod(row, F.lit(NULL_SALTS))).cast("int")).drop("__salts")
+    spread = dim.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return salted.join(spread, [*on, "__salt"], how).drop("__salt")

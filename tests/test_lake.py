@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from finweave import schemas, session
-from finweave.plans import medallion
+from finweave.plans import detection, medallion, records, serving
 from finweave.sources import config, lake
 from finweave.streaming import velocity
 
@@ -83,8 +83,51 @@ def test_history_without_url(spark):
     assert lake.append_history(spark.range(1), "") is False
 
 
+def test_layers_take_only_their_schema(spark, run):
+    medallion.ingest(spark, run)
+    bronze = lake.scan_batch(spark, run.path("bronze"), run.batch_date)
+    for df in (bronze.withColumn("more", F.lit(1)), bronze.drop("currency"), bronze.withColumn("amount", F.col("amount").cast("double"))):
+        with pytest.raises(ValueError):
+            medallion._write(df, run, "bronze")
+
+
+def test_cluster():
+    assert config.cluster({"CLUSTER_HOST": "h", "CLUSTER_TOKEN": "t"}).host == "h"
+    with pytest.raises(ValueError, match="CLUSTER_HOST, CLUSTER_TOKEN"):
+        config.cluster({})
+    with pytest.warns(UserWarning):
+        assert config.deployment("nowhere", {"STORAGE_ACCOUNT": "a", "STORAGE_CONTAINER": "c"}).shuffle_partitions == 8
+
+
 def test_named_parameters(spark):
-    assert spark.sql("select :a + 1 as x", args={"a": 1}).first()["x"] == 2
+    """Statements of the workflow with bound values; a value is never read as text of the statement."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    case = detection.cases(spark, folder).where("status = 'NEW'").orderBy("case_id").first()
+    (row,) = detection.bind(spark, folder, "assign", case_id=case["case_id"], investigator="x' OR '1' = '1", at=AT).collect()
+    assert row["assigned_to"] == "x' OR '1' = '1" and row["status"] == "IN_PROGRESS" and "Assigned to x'" in row["notes"]
+    (row,) = detection.bind(spark, folder, "close", case_id=case["case_id"], resolution="CLOSED_SAR", text="reported", at=AT).collect()
+    assert row["status"] == "CLOSED_SAR" and row["notes"].endswith("Closed: reported")
+    entity = detection.entity_running_total(spark, folder).select("entity_id").orderBy("entity_id").first()[0]
+    rows = detection.bind(spark, folder, "history", entity_id=entity).collect()
+    assert rows and {r["entity_id"] for r in rows} == {entity} and [r["txn_sequence_number"] for r in rows] == list(range(1, len(rows) + 1))
+    assert detection.bind(spark, folder, "assign", case_id="none", investigator="x", at=AT).count() == 0
+
+
+def test_response(spark):
+    head, rows = serving.response(spark.createDataFrame([(1, "a"), (2, None)], "id int, total string"), "things", F.lit(AT))
+    assert tuple(head.first()) == ("things", 2, "2025-07-01T00:00:00.000Z") and {r["row"] for r in rows.collect()} == {'{"id":1,"total":"a"}', '{"id":2}'}
+    assert serving.response(spark.range(0), "none")[0].first()["total"] == 0
+
+
+def test_totals_of_runs(spark):
+    totals = records.Totals()
+    stats = lambda: spark.createDataFrame([(3, 2)], "total_processed bigint, total_output bigint")
+    totals.add(stats)
+    assert (got := totals.add(stats))["total_processed"] == 6 and got["total_output"] == 4 and got["last_run_duration_ms"] >= 0
+    timed = records.timed(stats)
+    assert timed["errors"] == [] and timed["start_time"] <= timed["end_time"] and timed["duration_seconds"] >= 0
 
 
 def test_velocity_stream(spark, tmp_path):

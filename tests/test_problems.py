@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from finweave import session
 from finweave.operators import asof, eager, rawparse, rolling, running, units
 from finweave.operators.standing import standing_rows
 from finweave.session import attach
@@ -47,8 +48,9 @@ def test_heavy_accounts(spark):
     assert eager.heavy_accounts(states.limit(0), 0.02).count() == 0
 
 
-def test_attach_salts_a_large_dimension(spark):
-    df, dim = spark.createDataFrame([("hot",)] * 50 + [("x",), (None,)], "k string"), spark.createDataFrame([("hot", 1), ("y", 2)], "k string, v int")
+def test_attach_salts_a_large_dimension(spark, monkeypatch):
+    monkeypatch.setattr(session, "HOT_ROWS", 7)
+    df, dim = spark.createDataFrame([("hot", i) for i in range(50)] + [("x", 0), (None, 0)], "k string, i int"), spark.createDataFrame([("hot", 1), ("y", 2)], "k string, v int")
     for rows in (2, 10**9):
         assert sorted((r["k"] or "", r["v"] or 0) for r in attach(df, dim, ["k"], rows=rows).collect()) == [("", 0)] + [("hot", 1)] * 50 + [("x", 0)]
 
@@ -107,6 +109,7 @@ def random_changes(seed, n_changes, n_events):
 def test_as_of(spark, monkeypatch, seed, changes, events, per):
     monkeypatch.setattr(asof, "CHANGES_PER_BUCKET", per)
     monkeypatch.setattr(asof, "EVENTS_PER_BUCKET", 16)
+    monkeypatch.setattr(running, "STRETCH_ROWS", per)
     ch, ev = random_changes(seed, changes, events)
     ch, ev = (ch, ev) if changes else ([], ev)
     ev = ev if events else []
@@ -310,7 +313,9 @@ def test_rolling(spark):
 # ---- running totals ------------------------------------------------------------------------------------------------
 
 
-def test_running_and_trailing_count(spark):
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_running_and_trailing_count(spark, monkeypatch, most):
+    monkeypatch.setattr(running, "STRETCH_ROWS", most)
     r = random.Random(5)
     rows = [(k, r.choice(["hot", "hot", "a", None]), None if r.random() < 0.05 else T0 + timedelta(hours=r.randrange(0, 2400, 6)), None if r.random() < 0.1 else r.randrange(99)) for k in range(300)]
     df = spark.createDataFrame(rows, "id int, k string, ts timestamp, v int")

@@ -59,6 +59,7 @@ def test_callable_rule(spark):
     own = rules.callable_rule("CUSTOM-002", "WARNING", "amount", "Even.", lambda r: int(float(r["amount"])) % 2 == 0, ["amount"])
     out = rules.validate(spark.createDataFrame([GOOD, (GOOD[0], "x", *GOOD[2:]), (GOOD[0], "3", *GOOD[2:])], RAW), [own]).collect()
     assert [r["quality_score"] for r in out] == [100.0, 0.0, 0.0] and out[1]["errors"] == []
+    assert [r["results"][0]["message"] for r in out] == ["OK", "Failed: could not convert string to float: 'x'", "Failed: Even."]
 
 
 def test_enrichment(spark):

@@ -58,7 +58,8 @@ def test_lake_score(spark):
 
 def test_json(spark):
     df = scoring.score_entities(spark.createDataFrame([HIGH], SCHEMA))
-    out = json.loads(df.select(scoring.to_json(df)).first()[0])
+    out = json.loads(df.select(scoring.to_json(df, F.timestamp_seconds(F.lit(0)))).first()[0])
+    assert out.pop("timestamp") == "1970-01-01T00:00:00.000000+00:00" and "timestamp" in json.loads(df.select(scoring.to_json(df)).first()[0])
     assert out["weighted_score"] == 94.75 and out["base_score"] == 91.88 and out["contributing_factors"]["VELOCITY"] == 0.1125
 
 

@@ -132,9 +132,41 @@ filled AS (SELECT grid.source_account_id, grid.day, coalesce(x, 0) AS x FROM gri
 rolled AS (SELECT source_account_id, day, sum(x) OVER (PARTITION BY source_account_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS total_7,
 sum(x) OVER (PARTITION BY source_account_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS total_30 FROM filled)"""
 
+_FIELD = '("(?:[^"]|"")*"|[^",]*)'
+_F = dict(zip(rawparse.FIELDS, range(1, len(rawparse.FIELDS) + 1)))
+_CSV_VALUE = "nullif(CASE WHEN starts_with(f[{n}], '\"') THEN replace(substr(f[{n}], 2, length(f[{n}]) - 2), '\"\"', '\"') ELSE f[{n}] END, '')"
+# numbers keep their text, other values are unquoted
+_JSON_VALUE = """CASE WHEN json_type(j, '$.{name}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN regexp_extract(t, '"{name}"\\s*:\\s*([^,}}\\s]+)', 1) ELSE json_extract_string(j, '$.{name}') END"""
+
+
+def _broken(name: str) -> str:
+    """When a field of table ``v`` breaks the rules of its column."""
+    wanted = "NUMBER" if name in ("amount", "risk_score") else "BOOLEAN" if name in ("is_pep", "flagged") else "VARCHAR"
+    is_wanted = f"{name}_kind IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT')" if wanted == "NUMBER" else f"{name}_kind = '{wanted}'"
+    rules = [f"coalesce({name}_kind <> 'NULL' AND NOT ({is_wanted}), false)"]
+    patterns = {"amount": "-?[0-9]{1,16}([.][0-9]{1,4})?", "risk_score": "-?[0-9]{1,16}([.][0-9]{1,4})?", "currency": "[A-Za-z]{3}", "source_country": "[A-Za-z]{2}", "destination_country": "[A-Za-z]{2}", "is_pep": "true|false", "flagged": "true|false"}
+    if name in patterns:
+        rules.append(f"coalesce(NOT regexp_full_match({name}, '{patterns[name]}'), false)")
+    if name == "transaction_timestamp":
+        rules.append(f"coalesce(NOT regexp_full_match({name}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') OR try_strptime({name}, '%Y-%m-%dT%H:%M:%S') IS NULL, false)")
+    if _F[name] <= rawparse.REQUIRED:
+        rules.append(f"{name} IS NULL")
+    return " OR ".join(rules)
+
+
+_RECORDS = f"""WITH r AS (SELECT record_id, raw_record AS t, coalesce(record_format = 'json' OR record_format <> 'csv' AND starts_with(ltrim(raw_record), '{{'), starts_with(ltrim(raw_record), '{{')) AS is_json FROM raw_transactions),
+x AS (SELECT *, CASE WHEN is_json AND json_valid(t) THEN CAST(t AS JSON) END AS j, CASE WHEN NOT is_json THEN regexp_extract_all(',' || t, ',{_FIELD}', 1) END AS f FROM r),
+v AS (SELECT *, CASE WHEN t IS NULL THEN 'column_count' WHEN is_json AND j IS NULL OR NOT is_json AND NOT regexp_full_match(t, '{_FIELD}(?:,{_FIELD})*') THEN 'broken_quoting'
+WHEN is_json AND (json_type(j) <> 'OBJECT' OR list_sort(json_keys(j)) <> list_sort([{', '.join(f"'{n}'" for n in rawparse.FIELDS)}])) OR NOT is_json AND len(f) <> {len(rawparse.FIELDS)} THEN 'column_count' END AS shape,
+{', '.join(f"CASE WHEN is_json THEN {_JSON_VALUE.format(name=n)} ELSE {_CSV_VALUE.format(n=k)} END AS {n}, json_type(j, '$.{n}') AS {n}_kind" for n, k in _F.items())} FROM x),
+judged AS (SELECT *, coalesce(shape, CASE WHEN {' OR '.join(f'({_broken(n)})' for n in rawparse.FIELDS)} THEN 'invalid_value' END) AS reason FROM v)"""
+_TYPED = {"amount": "CAST(amount AS DECIMAL(20,4))", "transaction_timestamp": "CAST(strptime(transaction_timestamp, '%Y-%m-%dT%H:%M:%S') AS TIMESTAMPTZ)", "is_pep": "CAST(is_pep AS BOOLEAN)", "risk_score": "CAST(risk_score AS DOUBLE)", "flagged": "CAST(flagged AS BOOLEAN)"}
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_account_activity, p1_entity_activity, p2_found, p2_converted, p4_found, p4_attributes_then, p5_found, p5_bronze, p5_quarantine, p6_found, p6_trailing)}
 
 SQL = {
+    "p5_found": f"{_RECORDS} SELECT record_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_bronze": f"{_RECORDS} SELECT record_id, {', '.join(f'{_TYPED.get(n, n)} AS {n}' for n in rawparse.FIELDS)} FROM judged WHERE reason IS NULL",
     "p1_found": f"""{_STATES} SELECT account_id, side FROM states JOIN (SELECT side AS s, sum(n) AS all_n FROM states GROUP BY side) ON s = side
 WHERE account_id IS NOT NULL AND n >= 0.02 * all_n""",
     "p1_account_activity": f"{_STATES} SELECT account_id, side, n, total, last_at FROM states",

@@ -26,8 +26,9 @@ WORDS, LETTERED = 6, 4
 #: A sentence is taken when the best model's cross-entropy is at most this part of the way from the mean over held-out sentences of its own
 #: language to the mean over those of the other languages, and when it is ahead of the second model by this many nats in all.
 REACH, LEAD = 0.7, 6.0
-#: A sentence without punctuation is cut in two where two languages explain it better than one by this many nats.
-CUT = 40.0
+#: A sentence without punctuation is cut in two where two languages explain it better than one by this many nats; and around an island of another
+#: language that explains its words better by so many. Pieces are cut again.
+CUT, ISLAND = 40.0, 60.0
 #: Characters scored at a time; sentences longer than the second number are scored in pieces.
 SLICE, LONGEST = 250_000, 20_000
 
@@ -105,8 +106,12 @@ class Model:
         logs, starts, lengths, _ = self.char_logs(sentences)
         return -np.add.reduceat(logs, starts, axis=0) / lengths[:, None]
 
-    def cuts(self, sentences: list[str]) -> tuple[np.ndarray, dict[int, int]]:
-        """Entropies as above; and for sentences that two languages share, the number of the word where the second begins."""
+    def cuts(self, sentences: list[str]) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
+        """Entropies as above; and for sentences that two languages share, the numbers of the words where the language changes.
+
+        That is one word, the best cut in two, or the two ends of the island of another language in the sentence's best one with the greatest gain (the
+        largest sum of a run of differences between the two).
+        """
         logs, starts, lengths, x = self.char_logs(sentences)
         space = np.flatnonzero(x == self.encode(" ")[0])  # a sentence begins with one
         sums = np.concatenate([np.zeros((1, len(LANGUAGES))), np.cumsum(np.add.reduceat(logs, space, axis=0), axis=0, dtype=np.float64)])
@@ -115,13 +120,37 @@ class Model:
         before, after = sums[first], sums[np.append(first[1:], len(space))]
         whole = after - before
         gain = (sums[:-1] - before[of]).max(axis=1) + (after[of] - sums[:-1]).max(axis=1) - whole.max(axis=1)[of]
-        found = {}
+        found: dict[int, tuple[int, ...]] = {}
         for k in np.flatnonzero(gain >= CUT)[np.argsort(-gain[gain >= CUT], kind="stable")].tolist():
             i = int(of[k])
             if i not in found:
                 word = k - int(first[i])
                 if WORDS <= word <= sentences[i].count(" ") - 1 - WORDS:
-                    found[i] = word
+                    found[i] = (word,)
+        if len(space) == 0:
+            return -whole / lengths[:, None], found
+        # runs of words: sums up to each word against the least sum before it in the sentence, which sinks from sentence to sentence
+        end = np.append(first[1:], len(space))
+        own = sums[np.arange(len(of)), whole.argmax(axis=1)[of]]
+        best_gain, best_begin, best_end = np.zeros(len(sentences)), np.zeros(len(sentences), np.int64), np.zeros(len(sentences), np.int64)
+        own_before = before[np.arange(len(first)), whole.argmax(axis=1)]
+        for l in range(len(LANGUAGES)):
+            x_ = (sums[:-1, l] - before[of, l]) - (own - own_before[of])  # before each word
+            fall = float(np.abs(x_).max() * 2 + 1) * of
+            low = np.minimum.accumulate(x_ - fall) + fall
+            begin = np.maximum.accumulate(np.where(x_ <= low, np.arange(len(x_)), 0))
+            rise = x_ - low
+            top = np.maximum.reduceat(rise, first)
+            better = top > best_gain
+            if better.any():
+                at = np.flatnonzero(rise == top[of])
+                last = dict(zip(of[at].tolist(), at.tolist()))
+                for i in np.flatnonzero(better).tolist():
+                    best_gain[i], best_end[i], best_begin[i] = top[i], last[i] - first[i], begin[last[i]] - first[i]
+        for i in np.flatnonzero(best_gain >= ISLAND).tolist():
+            a, b, n = int(best_begin[i]), int(best_end[i]), int(end[i] - first[i]) - 1
+            if i not in found and a >= WORDS and b - a >= WORDS and n - b >= WORDS:
+                found[i] = (a, b)
         return -whole / lengths[:, None], found
 
     def char_logs(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,8 +307,8 @@ def countable(sentence: str) -> bool:
 
 
 def sample(documents: DataFrame, text: str, label: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS labelled texts a language, whole ones of at most SAMPLE_CHARS characters, chosen by a hash of the text. Copies count once."""
-    rows = documents.select(label_language(label).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    """At most SAMPLE_DOCS labelled texts a language, of longer ones their first SAMPLE_CHARS characters, chosen by a hash of the text. Copies count once."""
+    rows = documents.select(label_language(label).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not n:
         return []
@@ -307,7 +336,7 @@ def segments(documents: DataFrame, doc_id: str, text: str, model: Model) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
 
-        def score(ready: list[str]) -> tuple[np.ndarray, dict[int, int]]:
+        def score(ready: list[str]) -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
             entropies, cut, at = [], {}, 0
             while at < len(ready):
                 end, size = at, 0
@@ -321,17 +350,23 @@ def segments(documents: DataFrame, doc_id: str, text: str, model: Model) -> Data
             return np.concatenate(entropies), cut
 
         def flush(parts: list[tuple[int, int, int, str, bool]]) -> pa.RecordBatch:
-            ready = [prepared(p[3]) for p in parts]
-            entropy, cut = score(ready)
-            if cut:
-                split = []
-                for k, (i, a, b, s, counted) in enumerate(parts):
-                    at = [w.start() for w in re.finditer(r"\S+", without_asides(s))][cut[k]] if counted and k in cut else 0
-                    split += [(i, a, a + at, s[:at], countable(s[:at])), (i, a + at, b, s[at:], countable(s[at:]))] if at else [(i, a, b, s, counted)]
-                parts = split
-                ready = [prepared(p[3]) for p in parts]
-                entropy, _ = score(ready)
-            lengths = np.array([len(s) for s in ready])
+            # pieces are cut until no cut gains enough; each piece is shorter, so this ends
+            whole, open_ = [], [(n, p) for n, p in enumerate(parts)]
+            while open_:
+                ready = [prepared(p[3]) for _, p in open_]
+                entropy, cut = score(ready)
+                rest = []
+                for k, (n, (i, a, b, s, counted)) in enumerate(open_):
+                    starts = [w.start() for w in re.finditer(r"\S+", without_asides(s))] if counted and k in cut else []
+                    at = [0, *(starts[w] for w in cut[k]), len(s)] if starts else []
+                    if len(at) > 2 and all(x < y for x, y in zip(at, at[1:])):
+                        rest += [(n, (i, a + x, a + y, s[x:y], countable(s[x:y]))) for x, y in zip(at, at[1:])]
+                    else:
+                        whole.append((n, a, (i, a, b, s, counted), entropy[k], len(ready[k])))
+                open_ = rest
+            whole.sort(key=lambda x: x[:2])
+            parts = [x[2] for x in whole]
+            entropy, lengths = np.array([x[3] for x in whole]), np.array([x[4] for x in whole])
             best, taken, confidence = m.judge(entropy, lengths)
             out: list[list] = []
             for (i, a, b, s, counted), l, ok, c, n in zip(parts, best.tolist(), taken.tolist(), confidence.tolist(), lengths.tolist()):

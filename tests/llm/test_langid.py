@@ -87,6 +87,26 @@ def test_segments(spark):
     assert langid.segments(df.limit(0), "doc_id", "text", model).count() == 0
 
 
+@HAVE
+def test_unpunctuated_mixtures(spark):
+    """Without punctuation a language in the middle of another is found, and so are three in a row."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(langid.sample(docs, "text", "lang"))
+    english = "the customer explained that the money came from the sale of a warehouse in the north and would be moved to another bank before the summer"
+    german = "der kunde hat uns nach dem gespräch erklärt dass das geld aus dem verkauf eines hauses in der stadt stammt und bald überwiesen wird"
+    french = "le client explique que cette somme provient de la vente d'un entrepôt dans le nord et que le contrat de vente a été envoyé à la banque avant la fin du mois"
+    rows = [(1, f"{english} {german} {english}"), (2, f"{english} {german} {french}"), (3, f"{german} {french} {german} {english}"), (4, f"{english} {english}"), (5, german)]
+    got = {}
+    for r in langid.segments(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", model).orderBy("doc_id", "part").collect():
+        got.setdefault(r["doc_id"], []).append(r["lang"])
+    assert got == {1: ["en", "de", "en"], 2: ["en", "de", "fr"], 3: ["de", "fr", "de", "en"], 4: ["en"], 5: ["de"]}
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    df = spark.createDataFrame([(1, "Every labelled text of this language is long. " * 400, "en")], "doc_id bigint, text string, lang string")
+    assert [(k, len(t)) for k, t in langid.sample(df, "text", "lang")] == [("en", langid.SAMPLE_CHARS)]
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "Some words that nobody ever labelled in here.", None)], "doc_id bigint, text string, lang string")
     assert langid.sample(df, "text", "lang") == []

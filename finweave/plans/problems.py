@@ -154,8 +154,9 @@ def _broken(name: str) -> str:
     return " OR ".join(rules)
 
 
+# DuckDB takes a comma before the closing brace, which JSON doesn't allow
 _RECORDS = f"""WITH r AS (SELECT record_id, raw_record AS t, coalesce(record_format = 'json' OR record_format <> 'csv' AND starts_with(ltrim(raw_record), '{{'), starts_with(ltrim(raw_record), '{{')) AS is_json FROM raw_transactions),
-x AS (SELECT *, CASE WHEN is_json AND json_valid(t) THEN CAST(t AS JSON) END AS j, CASE WHEN NOT is_json THEN regexp_extract_all(',' || t, ',{_FIELD}', 1) END AS f FROM r),
+x AS (SELECT *, CASE WHEN is_json AND json_valid(t) AND NOT regexp_matches(t, ',\\s*[}}]\\s*$') THEN CAST(t AS JSON) END AS j, CASE WHEN NOT is_json THEN regexp_extract_all(',' || t, ',{_FIELD}', 1) END AS f FROM r),
 v AS (SELECT *, CASE WHEN t IS NULL THEN 'column_count' WHEN is_json AND j IS NULL OR NOT is_json AND NOT regexp_full_match(t, '{_FIELD}(?:,{_FIELD})*') THEN 'broken_quoting'
 WHEN is_json AND (json_type(j) <> 'OBJECT' OR list_sort(json_keys(j)) <> list_sort([{', '.join(f"'{n}'" for n in rawparse.FIELDS)}])) OR NOT is_json AND len(f) <> {len(rawparse.FIELDS)} THEN 'column_count' END AS shape,
 {', '.join(f"CASE WHEN is_json THEN {_JSON_VALUE.format(name=n)} ELSE {_CSV_VALUE.format(n=k)} END AS {n}, json_type(j, '$.{n}') AS {n}_kind" for n, k in _F.items())} FROM x),
